@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reposift import defaults
 
 # Fixed formats of an ISO-8601 date or date-time: extended, basic and week form.
-_TIME = r"([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?)?"
+_TIME = r"([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6}\d*)?)?)?(Z|[+-]\d{2}:?\d{2})?)?"
 EXTENDED_DATE = r"\A\d{4}-\d{2}-\d{2}" + _TIME + r"\z"
 BASIC_DATE = r"\A\d{8}" + _TIME + r"\z"
 WEEK_DATE = r"\A\d{4}-?W\d{2}(-?[1-7])?\z"
@@ -40,9 +40,11 @@ def parse_commit_date(text: Column) -> Column:
     extended = F.when(text.rlike(BASIC_DATE), F.regexp_replace(no_space, r"\A(\d{4})(\d{2})(\d{2})", "$1-$2-$3"))
     extended = extended.when(text.rlike(EXTENDED_DATE), no_space)
     with_time = F.when(F.length(extended) == 10, F.concat(extended, F.lit("T00:00:00Z"))).otherwise(extended)
-    with_minutes = F.regexp_replace(with_time, r"(T\d{2})(?=\z|Z|[+-])", "$1:00")
-    zoned = F.when(with_minutes.rlike(r"(Z|[+-]\d{2}:?\d{2})\z"), with_minutes).otherwise(
-        F.concat(with_minutes, F.lit("Z"))
+    # a zone is only understood after full seconds
+    for shorter in (r"(T\d{2})(?=\z|Z|[+-])", r"(T\d{2}:\d{2})(?=\z|Z|[+-])"):
+        with_time = F.regexp_replace(with_time, shorter, "$1:00")
+    zoned = F.when(with_time.rlike(r"(Z|T.*[+-]\d{2}:?\d{2})\z"), with_time).otherwise(
+        F.concat(with_time, F.lit("Z"))
     )
     colon_zone = F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})\z", "$1:$2")
     return F.coalesce(colon_zone.try_cast("timestamp"), _parse_week_date(text))
