@@ -116,7 +116,7 @@ EXTRA_SQL = {
     "scored_pairs": ("matches", """scored_pairs as (
         select repo_name as repo, query_number as issue_1_number, match_number as issue_2_number,
                case when same then 1 else 0 end as true_label,
-               round(greatest(0.0, least(1.0, 0.15 + case when same then 0.15 else 0.0 end + sim)), 6) as cosine_similarity
+               round(greatest(cast(0 as double), least(cast(1 as double), cast(0.15 as double) + case when same then cast(0.15 as double) else cast(0 as double) end + sim)), 9) as cosine_similarity
         from matches)"""),
     "progress": ("scored_pairs", """progress as (
         select repo, issue_1_number, issue_2_number,
