@@ -65,7 +65,7 @@ def _block_kernel(k: int, exclude_self: bool, earlier_only: bool):
             return pd.DataFrame({c: [] for c in columns})
         right = right.sort_values("match_number", kind="stable")
         numbers = right["match_number"].to_numpy()
-        titles = right["title"].to_numpy()
+        titles = right["title"].to_numpy(dtype=object)
         candidates = unit_rows(right["match_vector"])
         queries = unit_rows(left["embedding"])
         asked = left["query_number"].to_numpy()
@@ -88,11 +88,13 @@ def _block_kernel(k: int, exclude_self: bool, earlier_only: bool):
             first = np.searchsorted(rows, rows, side="left")
             top = (np.arange(len(rows)) - first) < keep
             rows, cols, values = rows[top], cols[top], values[top]
-            parts.append(pd.DataFrame({
-                "repo_name": repo, "query_number": mine[rows], "match_number": numbers[cols],
-                "title": titles[cols], "similarity": values,
-            }))
-        return pd.concat(parts)[columns]
+            parts.append((mine[rows], numbers[cols], titles[cols], values))
+        asked, matched, names, values = (np.concatenate(column) for column in zip(*parts))
+        # plain object columns: pandas' own string type can come out as several Arrow chunks
+        return pd.DataFrame({
+            "repo_name": np.full(len(asked), repo, dtype=object), "query_number": asked, "match_number": matched,
+            "title": names.astype(object), "similarity": values,
+        })[columns]
 
     return best_matches
 
