@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from catalog.inputs import view, with_views
 from reposift.functions import history
 from reposift.operators import reviewers as R
+from reposift.plans.reviewing import review_pull_requests
 from reposift.sources import commits as commit_source
 
 AS_OF = datetime(2002, 1, 1)
@@ -91,8 +92,12 @@ def candidate_scores(spark, folder):
 
 
 def recommend_reviewers(spark, folder):
-    owners = _owners(spark, folder)
-    return R.recommend_reviewers(view(spark, folder, "pr_files"), owners, R.dir_ownership(owners))
+    return review_pull_requests(view(spark, folder, "commits"), view(spark, folder, "pr_files"), AS_OF)
+
+
+def recommend_reviewers_short_heads(spark, folder):
+    """The same with so few owners per source that most pull requests need look-ups or full scoring."""
+    return review_pull_requests(view(spark, folder, "commits"), view(spark, folder, "pr_files"), AS_OF, head=4)
 
 
 def round_score(spark, folder):
@@ -122,7 +127,7 @@ def empty_input(spark, folder):
 QUERIES = {f.__name__: f for f in (
     scan_commits, valid_commits, parse_commit_date, decayed_weight, parent_dirs, scan_prs, file_ownership,
     dir_ownership, direct_file_owners, nearest_dir_fallback, exclude_author, candidate_scores,
-    recommend_reviewers, round_score, history_append_overwrite, empty_input)}
+    recommend_reviewers, recommend_reviewers_short_heads, round_score, history_append_overwrite, empty_input)}
 
 _AGE = "greatest(0, date_diff('day', cast(date as date), date '2002-01-01'))"
 _FO = f"""+fo as (select repo_name, file, author, sum(weight * exp(-ln(2) / 180 * {_AGE})) as score
@@ -195,6 +200,7 @@ SQL = {
         select repo_name, pr_number, count(author) as candidates, round(sum(score), 3) as total,
                round(max(score), 4) as best, round(min(score), 4) as least from tot group by all"""),
     "recommend_reviewers": with_views("commits pr_files", _prs(_TOT) + " select * from ranked"),
+    "recommend_reviewers_short_heads": with_views("commits pr_files", _prs(_TOT) + " select * from ranked"),
     "round_score": with_views("commits", _FO + """
         select repo_name, file, author, round(round(score, 9), 2) as score from fo"""),
     "history_append_overwrite": with_views("commits", f"""

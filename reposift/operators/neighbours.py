@@ -49,6 +49,8 @@ def _block_kernel(k: int, exclude_self: bool, earlier_only: bool):
     """Top-k of one query block against one candidate block."""
     columns = [f.name for f in _MATCH_SCHEMA.fields]
     decimals = SIMILARITY_DECIMALS
+    # pandas' own string type can come out as no or several Arrow chunks, which Arrow batches can't take
+    text_columns = {"repo_name": object, "title": object}
 
     def unit_rows(series):
         import numpy as np
@@ -62,7 +64,7 @@ def _block_kernel(k: int, exclude_self: bool, earlier_only: bool):
         import pandas as pd
 
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: [] for c in columns}).astype(text_columns)
         right = right.sort_values("match_number", kind="stable")
         numbers = right["match_number"].to_numpy()
         titles = right["title"].to_numpy(dtype=object)
@@ -90,11 +92,9 @@ def _block_kernel(k: int, exclude_self: bool, earlier_only: bool):
             rows, cols, values = rows[top], cols[top], values[top]
             parts.append((mine[rows], numbers[cols], titles[cols], values))
         asked, matched, names, values = (np.concatenate(column) for column in zip(*parts))
-        # plain object columns: pandas' own string type can come out as several Arrow chunks
         return pd.DataFrame({
-            "repo_name": np.full(len(asked), repo, dtype=object), "query_number": asked, "match_number": matched,
-            "title": names.astype(object), "similarity": values,
-        })[columns]
+            "repo_name": repo, "query_number": asked, "match_number": matched, "title": names, "similarity": values,
+        })[columns].astype(text_columns)
 
     return best_matches
 

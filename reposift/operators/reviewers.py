@@ -18,6 +18,10 @@ from pyspark.sql.window import Window
 from reposift import defaults
 from reposift.functions.history import age_in_days, decayed_weight, parent_dirs
 from reposift.operators.validation import require_positive
+from reposift.session import cut_lineage
+
+OWNER_HEAD = 48
+_SOURCE = ["repo_name", "kind", "path"]
 
 
 def with_commit_defaults(commits: DataFrame) -> DataFrame:
@@ -95,23 +99,22 @@ def direct_file_owners(pr_files: DataFrame, file_owners: DataFrame) -> DataFrame
     return pr_files.join(file_owners, ["repo_name", "file"])
 
 
-def nearest_known_dirs(pr_files: DataFrame, file_owners: DataFrame, dir_owners: DataFrame) -> DataFrame:
-    """Files without history, with their nearest ancestor directory that has some.
+def nearest_dir_of_new_files(pr_files: DataFrame, file_owners: DataFrame, dir_owners: DataFrame) -> DataFrame:
+    """Each distinct file without history and its nearest ancestor directory that has some.
 
-    ``level`` is 0 for the file's own directory.
+    ``level`` is 0 for the file's own directory.  A file is looked up once,
+    however many pull requests touch it.
     """
     known_files = file_owners.select("repo_name", "file").distinct()
     known_dirs = dir_owners.select("repo_name", "dir").distinct()
-    # the lookup runs once per distinct new file, however many pull requests touch it
     fresh = pr_files.select("repo_name", "file").distinct().join(known_files, ["repo_name", "file"], "left_anti")
-    nearest = (
+    return (
         fresh.select("repo_name", "file", F.posexplode(parent_dirs(F.col("file"))).alias("level", "dir"))
         .join(known_dirs, ["repo_name", "dir"], "left_semi")
         .groupBy("repo_name", "file")
         .agg(F.min(F.struct("level", "dir")).alias("near"))
         .select("repo_name", "file", F.col("near.level").cast("bigint").alias("level"), F.col("near.dir").alias("dir"))
     )
-    return pr_files.join(nearest, ["repo_name", "file"])
 
 
 def nearest_dir_fallback(
@@ -121,7 +124,7 @@ def nearest_dir_fallback(
     penalty: float = defaults.DIRECTORY_FALLBACK_WEIGHT,
 ) -> DataFrame:
     """Owners of the nearest known directory, at one penalty whatever its distance."""
-    near = nearest_known_dirs(pr_files, file_owners, dir_owners)
+    near = pr_files.join(nearest_dir_of_new_files(pr_files, file_owners, dir_owners), ["repo_name", "file"])
     owners = dir_owners.withColumn("score", F.col("score") * F.lit(float(penalty)))
     return near.join(owners, ["repo_name", "dir"])
 
@@ -141,15 +144,24 @@ def owner_sources(file_owners: DataFrame, dir_owners: DataFrame, penalty: float)
     return files.unionByName(dirs)
 
 
+def resolve_files(pr_files: DataFrame, file_owners: DataFrame, dir_owners: DataFrame) -> DataFrame:
+    """Where the owners of each distinct changed file come from: ``(repo_name, file, kind, path)``."""
+    known = file_owners.select("repo_name", "file").distinct()
+    direct = pr_files.select("repo_name", "file").distinct().join(known, ["repo_name", "file"], "left_semi").select(
+        "repo_name", "file", F.lit("f").alias("kind"), F.col("file").alias("path"))
+    near = nearest_dir_of_new_files(pr_files, file_owners, dir_owners).select(
+        "repo_name", "file", F.lit("d").alias("kind"), F.col("dir").alias("path"))
+    return direct.unionByName(near)
+
+
 def pr_sources(pr_files: DataFrame, file_owners: DataFrame, dir_owners: DataFrame) -> DataFrame:
-    """How often each pull request draws on each file or directory of the owner table."""
-    known_files = file_owners.select("repo_name", "file").distinct()
-    direct = pr_files.join(known_files, ["repo_name", "file"], "left_semi").select(
-        "repo_name", "pr_number", "author_username", F.lit("f").alias("kind"), F.col("file").alias("path"))
-    near = nearest_known_dirs(pr_files, file_owners, dir_owners).select(
-        "repo_name", "pr_number", "author_username", F.lit("d").alias("kind"), F.col("dir").alias("path"))
+    """How often each pull request draws on each file or directory of the owner table.
+
+    Rows come out partitioned by pull request.
+    """
+    met = pr_files.join(resolve_files(pr_files, file_owners, dir_owners), ["repo_name", "file"])
     return (
-        direct.unionByName(near)
+        met.repartition("repo_name", "pr_number")
         .groupBy("repo_name", "pr_number", "author_username", "kind", "path")
         .agg(F.count(F.lit(1)).alias("times"))
     )
@@ -163,14 +175,75 @@ def candidate_scores(
 ) -> DataFrame:
     """Score of every candidate of every pull request; a file listed twice counts twice."""
     sources = pr_sources(pr_files, file_owners, dir_owners)
-    met = sources.join(owner_sources(file_owners, dir_owners, penalty), ["repo_name", "kind", "path"])
+    return _all_scores(sources, owner_sources(file_owners, dir_owners, penalty))
+
+
+def _all_scores(sources: DataFrame, owners: DataFrame) -> DataFrame:
     return (
-        exclude_author(met)
+        exclude_author(sources.join(owners, _SOURCE))
         .groupBy("repo_name", "pr_number", "author")
         .agg(F.sum(F.col("score") * F.col("times")).alias("score"))
     )
 
 
+def _owner_heads(owners: DataFrame, head: int, short: int) -> DataFrame:
+    """The ``head`` best owners of each source, and the scores just behind rank ``head`` and rank ``short``.
+
+    The rank limit is applied before the shuffle too, so a directory with very
+    many owners doesn't gather in one task.
+    """
+    best = Window.partitionBy(*_SOURCE).orderBy(F.desc("score"), F.asc("author"))
+    source = Window.partitionBy(*_SOURCE)
+    ranked = owners.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= head + 1)
+
+    def behind(rank: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("place") == rank + 1, F.col("score"))).over(source), F.lit(0.0))
+
+    return ranked.withColumns({"behind_head": behind(head), "behind_short": behind(short)}).filter(F.col("place") <= head)
+
+
+def _bounded_candidates(sources: DataFrame, owners: DataFrame, top_k: int, head: int) -> DataFrame:
+    """Candidates among the best owners of each source that can still reach the top ``top_k``.
+
+    ``partial`` is what the seen sources give, ``exact`` tells whether that is
+    all, and ``settled`` whether nobody outside the seen owners can reach the
+    top of this pull request.
+    """
+    short = top_k + 1
+    pr = Window.partitionBy("repo_name", "pr_number")
+    counted = sources.withColumn("n_sources", F.count(F.lit(1)).over(pr))
+    heads = _owner_heads(owners, head, short)
+    single = F.col("n_sources") == 1
+    met = counted.join(heads, _SOURCE).filter(~single | (F.col("place") <= short))
+    rest = F.when(single, F.col("behind_short")).otherwise(F.col("behind_head")) * F.col("times")
+    seen = (
+        met.withColumn("rest", rest)
+        .repartition("repo_name", "pr_number")
+        .groupBy("repo_name", "pr_number", "author_username", "author")
+        .agg(
+            F.sum(F.col("score") * F.col("times")).alias("partial"),
+            F.sum("rest").alias("rest_seen"), F.count_if(F.col("rest") > 0).alias("open_seen"),
+            # each source has one row of place 1: the sums over a pull request
+            F.sum(F.when(F.col("place") == 1, F.col("rest")).otherwise(0.0)).alias("rest_one"),
+            F.count_if((F.col("place") == 1) & (F.col("rest") > 0)).alias("open_one"),
+        )
+        .withColumns({"rest_all": F.sum("rest_one").over(pr), "open_all": F.sum("open_one").over(pr)})
+    )
+    order = pr.orderBy(F.desc("partial"), F.asc("author"))
+    judged = (
+        exclude_author(seen)
+        .withColumn("place", F.row_number().over(order))
+        .withColumn("bar", F.max(F.when(F.col("place") == top_k, F.col("partial"))).over(pr))
+    )
+    bar = F.coalesce("bar", F.lit(0.0))
+    # the slack covers rounding: scores are ranked at nine decimals
+    can_reach = F.col("partial") + F.col("rest_all") - F.col("rest_seen") >= bar - F.lit(1e-6)
+    settled = (F.col("open_all") == 0) | (F.col("rest_all") + F.lit(1e-6) < bar)
+    return judged.filter(can_reach).select(
+        "repo_name", "pr_number", "author", F.col("partial").alias("score"),
+        (F.col("open_all") == F.col("open_seen")).alias("exact"), settled.alias("settled"))
+
+
 def rank_reviewers(scores: DataFrame, top_k: int = defaults.REVIEWER_TOP_K) -> DataFrame:
     """Best ``top_k`` per pull request; equal scores go by name, rounding comes last."""
     require_positive(top_k=top_k)
@@ -198,9 +271,35 @@ def recommend_reviewers(
     dir_owners: DataFrame,
     top_k: int = defaults.REVIEWER_TOP_K,
     penalty: float = defaults.DIRECTORY_FALLBACK_WEIGHT,
+    head: int = OWNER_HEAD,
 ) -> DataFrame:
-    require_positive(top_k=top_k)
-    return rank_reviewers(candidate_scores(pr_files, file_owners, dir_owners, penalty), top_k)
+    """The same as ranking :func:`candidate_scores`, without making every candidate.
+
+    A directory can have very many owners, and each of them would become a row
+    of each pull request below it.  Instead only the ``head`` best owners of a
+    source are met first.  Bounds on what an owner may have elsewhere (the
+    threshold algorithm, Fagin et al., PODS 2001) show which of them can reach
+    the top; those get their missing scores by look-up.  Pull requests for
+    which the bounds don't suffice are scored in full, so the result is exact.
+    """
+    require_positive(top_k=top_k, head=head)
+    head = max(head, top_k + 2)
+    owners = owner_sources(file_owners, dir_owners, penalty)
+    sources = cut_lineage(pr_sources(pr_files, file_owners, dir_owners))
+    bounded = cut_lineage(_bounded_candidates(sources, owners, top_k, head))
+    settled = bounded.filter("settled")
+    exact = settled.filter("exact").select("repo_name", "pr_number", "author", "score")
+    looked_up = (
+        settled.filter("NOT exact").select("repo_name", "pr_number", "author")
+        .join(sources, ["repo_name", "pr_number"])
+        .join(owners, [*_SOURCE, "author"])
+        .groupBy("repo_name", "pr_number", "author")
+        .agg(F.sum(F.col("score") * F.col("times")).alias("score"))
+    )
+    # a pull request whose only seen owner is its author isn't in `bounded` and is scored in full as well
+    done = settled.select("repo_name", "pr_number").distinct()
+    full = _all_scores(sources.join(done, ["repo_name", "pr_number"], "left_anti"), owners)
+    return rank_reviewers(exact.unionByName(looked_up).unionByName(full), top_k)
 
 
 def as_recommendation(ranked: DataFrame) -> DataFrame:
