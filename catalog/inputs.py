@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reposift.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -126,8 +128,13 @@ EXTRA_SQL = {
 }
 
 
+# tables with expensive rows; each is one file with one row group here
+TEXTS = {"documents", "pages", "conversations", "events"}
+
+
 def tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet") for n in names}
+    found = {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet") for n in names}
+    return {n: spread(df) if n in TEXTS else df for n, df in found.items()}
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

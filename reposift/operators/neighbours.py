@@ -141,7 +141,7 @@ def _nearest_pivots(pivots: list[list[float]], how_many: int):
             [{"cluster": int(c), "angle": float(a)} for c, a in zip(cs, angs)] for cs, angs in zip(order, angles)
         ])
 
-    return nearest
+    return nearest.asNondeterministic()  # one evaluation, whatever is filtered later
 
 
 def _reachable_clusters(pivots: list[list[float]]):
@@ -166,7 +166,7 @@ def _reachable_clusters(pivots: list[list[float]]):
             out.append(np.asarray(ids)[np.cos(nearest_possible) >= least - 1e-6].tolist())
         return pd.Series(out)
 
-    return reachable
+    return reachable.asNondeterministic()
 
 
 def _sub_block(number: Column, parts: Column) -> Column:
@@ -270,7 +270,7 @@ def knn_topk(
         return _rank(_multiply(pairs, blocks, kernel), k)
 
     pivots = _pick_pivots(known, clusters)
-    blocks, homes, stats = _assign(asked, known, pivots, block_rows)
+    blocks, homes, stats = _assign(None if queries is vectors else asked, known, pivots, block_rows)
 
     # 1. one block near the query gives a lower bound for its k-th best match
     home_pairs = (
@@ -292,8 +292,8 @@ def knn_topk(
     visits = (
         homes.join(bound, ["repo_name", "query_number"], "left")
         .join(reach, "repo_name")
-        .withColumn("v_cluster", F.explode(_reachable_clusters(pivots)(
-            "embedding", floor, F.col("c.cluster"), F.col("c.radius"))))
+        .withColumn("within", _reachable_clusters(pivots)("embedding", floor, F.col("c.cluster"), F.col("c.radius")))
+        .withColumn("v_cluster", F.explode("within"))
         .withColumn("v_parts", F.filter("c", lambda x: x.cluster == F.col("v_cluster"))[0]["parts"])
         .withColumn("v_sub", F.explode(F.sequence(F.lit(0), F.col("v_parts") - 1)))
         .filter(~((F.col("v_cluster") == F.col("cluster")) & (F.col("v_sub") == F.pmod(F.col("sub"), F.col("v_parts")))))
@@ -303,17 +303,25 @@ def knn_topk(
     return _rank(near.unionByName(far), k)
 
 
-def _assign(asked: DataFrame, known: DataFrame, pivots, block_rows: int):
-    """Cluster and sub-block of every vector and query, plus sizes and radii of the clusters."""
-    home = _nearest_pivots(pivots, 1)("embedding")[0]
-    place = {"home": home}
-    unpack = {"cluster": F.col("home.cluster"), "angle": F.col("home.angle")}
-    placed = known.withColumns(place).withColumns(unpack).drop("home")
+def _assign(asked: DataFrame | None, known: DataFrame, pivots, block_rows: int):
+    """Cluster and sub-block of every vector and query, plus sizes and radii of the clusters.
+
+    The placed rows are written down: every later step reads them.  Without
+    ``asked`` the vectors are their own queries and are placed once.
+    """
+
+    def place(rows: DataFrame) -> DataFrame:
+        home = _nearest_pivots(pivots, 1)("embedding")[0]
+        placed = rows.withColumn("home", home)
+        return cut_lineage(placed.withColumns({"cluster": F.col("home.cluster"), "angle": F.col("home.angle")}).drop("home"))
+
+    placed = place(known)
     stats = _cluster_stats(placed, block_rows)
     blocks = _with_sub_block(placed, stats, "issue_number")
-    homes = asked.withColumns(place).withColumns(unpack).drop("home")
-    homes = _with_sub_block(homes, _cluster_stats(homes, block_rows), "query_number")
-    return blocks, homes, stats
+    if asked is None:
+        return blocks, blocks.withColumnRenamed("issue_number", "query_number").drop("title"), stats
+    homes = place(asked)
+    return blocks, _with_sub_block(homes, _cluster_stats(homes, block_rows), "query_number"), stats
 
 
 def ann_join(
@@ -336,10 +344,10 @@ def ann_join(
     clusters = _choose_clusters(vectors, queries, n_clusters, block_rows)
     asked, known = _prepare(queries, vectors)
     pivots = _pick_pivots(known, clusters)
-    blocks, homes, stats = _assign(asked, known, pivots, block_rows)
-    probed = _nearest_pivots(pivots, n_probe)("embedding")
+    blocks, homes, stats = _assign(None if queries is vectors else asked, known, pivots, block_rows)
     visits = (
-        homes.withColumn("v_cluster", F.explode(F.transform(probed, lambda p: p.cluster)))
+        homes.withColumn("probed", _nearest_pivots(pivots, n_probe)("embedding"))
+        .withColumn("v_cluster", F.explode("probed.cluster"))
         .join(stats.select("repo_name", F.col("cluster").alias("v_cluster"), "parts"), ["repo_name", "v_cluster"])
         .withColumn("v_sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"q_cluster": F.col("cluster"), "q_sub": F.col("sub")})

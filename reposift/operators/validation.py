@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposift import defaults
-from reposift.functions.text import or_empty, trim_unicode
 
 
 def require_positive(**params: int) -> None:
@@ -26,7 +25,8 @@ def has_columns(df: DataFrame, names: list[str]) -> bool:
 
 
 def not_blank(c: Column) -> Column:
-    return trim_unicode(or_empty(c)) != ""
+    """Whether there is anything but white space; reading stops at the first such character."""
+    return F.coalesce(c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def first_failure(checks: list[tuple[str, Column]]) -> Column:

@@ -54,3 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written once and never recomputed differently."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give under-split input to all cores.
+
+    Fewer files than cores usually means fewer tasks than cores, which hurts
+    where rows are expensive (models, text cleaning).  Input of many files is
+    left alone, so large tables aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
