@@ -57,8 +57,11 @@ def pr_curve(sample: DataFrame, buckets: int = CURVE_BUCKETS) -> DataFrame:
     shares = [i / buckets for i in range(1, buckets)]
     # at most `buckets` numbers reach the driver
     cuts = sorted(set(counts.approxQuantile("similarity", shares, 0.1 / buckets))) if shares else []
-    splits = [float("-inf"), *cuts, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="similarity", outputCol="bucket").transform(counts)
+    if cuts:
+        splits = [float("-inf"), *cuts, float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="similarity", outputCol="bucket").transform(counts)
+    else:
+        placed = counts.withColumn("bucket", F.lit(0.0))
     totals = placed.groupBy("bucket").agg(F.sum("positives").alias("p"), F.sum("rows").alias("n"))
     higher = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
