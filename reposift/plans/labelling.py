@@ -7,16 +7,20 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reposift import defaults
 from reposift.operators.cascade import Classifier, cascade, final_labels
 from reposift.operators.pairs import is_labelled, merge_progress, unlabelled
 from reposift.operators.validation import require_positive
-from reposift.session import cut_lineage
+from reposift.session import cut_lineage, work_path
 from reposift.sinks.pair_tables import write_labelled_pairs, write_with_fallback
 from reposift.sources.pairs import PAIR_KEY
 
 
+_BATCH = "label_batch"
+
+
 class ClassificationStopped(RuntimeError):
     """A classifier failed; the batches before it are written."""
 
@@ -29,7 +33,7 @@ class LabelReport:
 
 
 def batch_of(batches: int) -> Column:
-    return F.pmod(F.xxhash64(*PAIR_KEY), F.lit(batches))
+    return F.pmod(F.xxhash64(*PAIR_KEY), F.lit(batches)).cast("int")
 
 
 def _labels_so_far(spark: SparkSession, path: str) -> DataFrame | None:
@@ -52,16 +56,19 @@ def label_in_batches(
 
     A batch is a share of the pair keys by hash and is appended whole or not
     at all.  A rerun after a failure only classifies pairs without a label.
-    ``pairs`` should be a table on disk, since each batch reads its own share.
+    The open pairs are staged once, partitioned by batch, so a batch reads its
+    own share and nothing else.
     """
     require_positive(batches=batches)
     spark = pairs.sparkSession
+    todo = unlabelled(pairs, _labels_so_far(spark, label_path))
+    staged = work_path(spark, "to-label")
+    todo.withColumn(_BATCH, batch_of(batches)).hint("rebalance", F.col(_BATCH)).write.partitionBy(_BATCH).parquet(staged)
+    stored = T.StructType([*todo.schema.fields, T.StructField(_BATCH, T.IntegerType())])
     for batch in range(batches):
-        share = pairs.filter(batch_of(batches) == batch)
-        done = _labels_so_far(spark, label_path)
-        todo = unlabelled(share, done)
+        share = spark.read.schema(stored).parquet(staged).filter(F.col(_BATCH) == batch).drop(_BATCH)
         try:
-            labels = final_labels(cascade(todo, first, second, minimum, on_error))
+            labels = final_labels(cascade(share, first, second, minimum, on_error))
             labels.select(*PAIR_KEY, "cosine_similarity", "is_duplicate", "final_confidence").write.mode("append").parquet(label_path)
         except Exception as exc:
             raise ClassificationStopped(f"batch {batch} of {batches}: {type(exc).__name__}") from exc
