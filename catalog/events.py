@@ -81,15 +81,15 @@ def requests_to_events(spark, folder):
     return routing.verify(E.from_requests(raw), SECRET).select("event_id", "event_type", "signature_state")
 
 
-def _event_files(spark, folder, rows=None, files=1):
-    """The events as JSON files, one after the other in event order."""
+def _event_files(spark, folder, rows=None, files=1, parts=1):
+    """The events as JSON files, one group of ``parts`` files after the other in event order."""
     path = work_path(spark, "events")
     rows = events(spark, folder) if rows is None else rows
     last = rows.agg(F.max("event_id")).first()[0]
     for i in range(files):
         low, high = i * (last + 1) // files, (i + 1) * (last + 1) // files
         part = rows.filter(f"event_id >= {low} AND event_id < {high}")
-        part.coalesce(1).write.mode("append").json(path)
+        part.repartition(parts).write.mode("append").json(path)
     return path
 
 
@@ -104,7 +104,7 @@ def stream_events(spark, folder):
 
 def stream_route(spark, folder):
     out = work_path(spark, "routed")
-    stream = E.stream_events(spark, _event_files(spark, folder, files=2), max_files=1)
+    stream = E.stream_events(spark, _event_files(spark, folder, files=2, parts=8), max_files=8)
     jobs.stream_route(stream, SECRET, out, work_path(spark, "cp"), messages(spark, folder)).awaitTermination()
     return spark.read.parquet(out).select(*_RESULT)
 

@@ -28,7 +28,11 @@ BOLD = r"(?d)(\*\*|__)(.*?)\1"
 ITALICS = r"(?d)(\*|_)(.*?)\1"
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
-_EDGE_WHITESPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# Fixed list: the white space of Unicode with U+001C to U+001F.
+_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _OTHER_LINE_BREAK = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _BLANKS_BEFORE_BREAK = r"(?U)[\s\x1c-\x1f&&[^\n]]+\n"
 
@@ -47,7 +51,11 @@ strip_inline_code = _remove(INLINE_CODE)
 strip_urls = _remove(URL)
 strip_headings = _remove(HEADING)
 strip_blockquotes = _remove(BLOCKQUOTE)
-trim_unicode = _remove(_EDGE_WHITESPACE)
+
+
+def trim_unicode(c: Column) -> Column:
+    """Strip white space of any kind; only the two ends are looked at."""
+    return F.btrim(c, F.lit(_WHITESPACE))
 
 
 def unwrap_links(c: Column) -> Column:
