@@ -34,15 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder.  On a cluster a missing setting is an error, because a
     machine-local folder would not survive the loss of an executor.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+    if not configured and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="reposift-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="reposift-"))
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return configured or context.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
