@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.inputs import view, with_views
-from catalog.text import clip_sql, normalize_sql, trim_sql
-from reposift.functions.vectors import dot
+from catalog.text import clip_sql, normalize_sql
 from reposift.operators import cascade as C
 from reposift.operators import neighbours as N
 from reposift.operators import pairs as P

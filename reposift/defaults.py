@@ -23,7 +23,6 @@ MAX_ISSUE_TEXT_CHARS = 12_000
 TRUNCATION_NOTE = "\n\n[TRUNCATED: issue text exceeded the maximum length for classification.]"
 POSITIVE_TRUST = 0.90
 NEGATIVE_TRUST = 0.85
-LABEL_BATCH_ROWS = 25
 DUPLICATE_TYPES = ["same_bug", "same_feature_request", "same_question", "not_duplicate", "unclear"]
 FINAL_ROUTES = ["auto_label", "manual_review"]
 LABEL_OUTPUT_COLUMNS = [

@@ -1,7 +1,6 @@
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from reposift.operators import pairs as P
 from reposift.sinks import pair_tables as S
