@@ -196,9 +196,15 @@ def write_labelled_pairs(spark, folder):
 
 
 def write_with_fallback(spark, folder):
-    """The first path can't be created by anyone; the rows arrive at the second."""
-    second = work_path(spark, "fallback")
-    used = S.write_with_fallback(lambda p: S.write_pairs(scored(spark, folder), p), "/proc/denied/pairs", second)
+    """Access to the first path is denied; the rows arrive at the second."""
+    first, second = work_path(spark, "denied"), work_path(spark, "fallback")
+
+    def write(path):
+        if path == first:
+            raise PermissionError(path)
+        S.write_pairs(scored(spark, folder), path)
+
+    used = S.write_with_fallback(write, first, second)
     return spark.read.parquet(used).select(*KEY)
 
 

@@ -73,9 +73,17 @@ def test_labelled_columns(spark, work):
 
 
 def test_fallback_path(spark, work):
-    df, second = spark.range(3), work()
-    assert S.write_with_fallback(lambda p: df.write.parquet(p), "/proc/no/where", second) == second
-    assert spark.read.parquet(second).count() == 3
+    df = spark.range(3)
+    for denial in (PermissionError("no"), PySparkException("AccessControlException: Permission denied: user=x")):
+        first, second = work(), work()
+
+        def write(path):
+            if path == first:
+                raise denial
+            df.write.parquet(path)
+
+        assert S.write_with_fallback(write, first, second) == second and spark.read.parquet(second).count() == 3
+        assert S.write_with_fallback(write, work(), work()) != second
     with pytest.raises(PySparkException):  # any other failure isn't hidden
         S.write_with_fallback(lambda p: df.write.parquet(p), second, work())
 
