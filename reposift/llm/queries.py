@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import simhash
+from reposift.llm import crosspolytope, simhash
 from reposift.llm.common import table
 
 
@@ -14,7 +14,12 @@ def op7_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_crosspolytope_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, folder, "embeddings"), least=0.98, tables=4, hashes=2, probes=4)
+
+
 QUERIES = {
+    "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
     "op7_simhash_near_copies": op7_simhash_near_copies,
 }
 
