@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import crosspolytope, simhash
+from reposift.llm import bpe, crosspolytope, simhash
 from reposift.llm.common import table
 
 
+def op4_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.token_digests(bpe.encode_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 def op7_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(table(spark, folder, "documents"), threshold=2, shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -20,6 +25,7 @@ def op3_crosspolytope_near_vectors(spark: SparkSession, folder: str) -> DataFram
 
 QUERIES = {
     "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
+    "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op7_simhash_near_copies": op7_simhash_near_copies,
 }
 
