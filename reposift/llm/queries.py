@@ -6,8 +6,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, simhash
+from reposift.llm import bpe, crosspolytope, simhash, tokenfiles
 from reposift.llm.common import table
+from reposift.session import work_path
 
 
 def op4_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,8 +24,15 @@ def op3_crosspolytope_near_vectors(spark: SparkSession, folder: str) -> DataFram
     return crosspolytope.near_vectors(table(spark, folder, "embeddings"), least=0.98, tables=4, hashes=2, probes=4)
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_path(spark, "tokens")
+    tokenfiles.write_token_files(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, path=path)
+    return tokenfiles.token_offsets(spark, path)
+
+
 QUERIES = {
     "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
+    "op9_token_files": op9_token_files,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op7_simhash_near_copies": op7_simhash_near_copies,
 }
