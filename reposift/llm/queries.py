@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, simhash, tokenfiles
+from reposift.llm import bpe, crosspolytope, mixing, simhash, tokenfiles
 from reposift.llm.common import table
 from reposift.session import work_path
 
@@ -15,6 +15,11 @@ def op4_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op6_fair_queue_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
 def op7_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(table(spark, folder, "documents"), threshold=2, shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,7 +39,43 @@ QUERIES = {
     "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
     "op9_token_files": op9_token_files,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op6_fair_queue_mix": op6_fair_queue_mix,
     "op7_simhash_near_copies": op7_simhash_near_copies,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_fair_queue_mix": r"""
+        with sizes as (
+            select doc_id, coalesce(concat('0', source), '1') as src,
+                   md5(concat('mix:', coalesce(cast(doc_id as varchar), ''))) as key,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size
+            from documents),
+        totals as (
+            select src, cast(sum(size) as bigint) as source_size,
+                   cast([3, 1, 2][(row_number() over (order by src) - 1) % 3 + 1] as double) as weight
+            from sizes group by src),
+        limits as (select *, source_size * 2::double as lim, sum(source_size) over () * 1.5::double as budget from totals),
+        levels as (
+            select *, row_number() over (order by lim / weight, src) as place,
+                   (budget - coalesce(sum(lim) over (order by lim / weight, src rows between unbounded preceding and 1 preceding), 0))
+                   / sum(weight) over (order by lim / weight, src rows between current row and unbounded following) as level
+            from limits),
+        open as (select min(place) as place, arg_min(level, place) as level from levels where level * weight < lim),
+        targets as (
+            select src, source_size, case when o.place is null or l.place < o.place then lim else o.level * weight end as target
+            from levels l cross join open o),
+        queued as (
+            select s.*, source_size, target,
+                   sum(size) over (partition by s.src order by key, doc_id nulls first, size rows unbounded preceding) as upto
+            from sizes s join targets t on s.src = t.src),
+        copies as (
+            select *, (upto + turn * source_size)::double / target as time from queued cross join range(2) r(turn) where size > 0),
+        taken as (
+            select doc_id, src, key, size, upto, sum(size) over (order by time, key, doc_id nulls first, size rows unbounded preceding)
+                   <= (select sum(target) from targets) as inside
+            from copies)
+        select q.doc_id, q.size, q.source_size, q.target, cast(q.size * count(t.src) as bigint) as taken
+        from queued q left join taken t on q.doc_id is not distinct from t.doc_id and q.src = t.src and q.size = t.size
+             and q.upto = t.upto and t.inside
+        group by q.doc_id, q.size, q.source_size, q.target, q.src, q.upto""",
+}
