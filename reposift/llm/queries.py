@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, mixing, simhash, tokenfiles
+from reposift.llm import bpe, crosspolytope, hyperlang, mixing, simhash, tokenfiles
 from reposift.llm.common import table
 from reposift.session import work_path
 
@@ -25,6 +25,10 @@ def op7_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperlang.identify_languages(table(spark, folder, "documents"), keep=["doc_id"], n=3, dim=1024)
+
+
 def op3_crosspolytope_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return crosspolytope.near_vectors(table(spark, folder, "embeddings"), least=0.98, tables=4, hashes=2, probes=4)
 
@@ -36,6 +40,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
     "op9_token_files": op9_token_files,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
