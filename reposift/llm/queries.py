@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, hyperlang, mixing, simhash, tokenfiles
+from reposift.llm import bpe, crosspolytope, hyperlang, licences, mixing, simhash, tokenfiles
 from reposift.llm.common import table
 from reposift.session import work_path
 
@@ -33,6 +33,13 @@ def op3_crosspolytope_near_vectors(spark: SparkSession, folder: str) -> DataFram
     return crosspolytope.near_vectors(table(spark, folder, "embeddings"), least=0.98, tables=4, hashes=2, probes=4)
 
 
+def op8_license_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, folder, "documents"), threshold=0.9)
+    labels = F.array_join(F.array_sort(F.array_distinct(F.col("found.label"))), ",")
+    score = F.coalesce(F.array_max("found.containment"), F.lit(0.0))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.alias("score"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "tokens")
     tokenfiles.write_token_files(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, path=path)
@@ -42,6 +49,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
+    "op8_license_similarity_join": op8_license_similarity_join,
     "op9_token_files": op9_token_files,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op6_fair_queue_mix": op6_fair_queue_mix,
