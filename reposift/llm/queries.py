@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, hyperlang, licences, mixing, simhash, tokenfiles
+from reposift.llm import bpe, crosspolytope, hyperlang, licences, mixing, orderhash, simhash, tokenfiles
 from reposift.llm.common import table
 from reposift.session import work_path
 
@@ -25,6 +25,14 @@ def op7_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = orderhash.edited_fingerprints(table(spark, folder, "documents"), permutations=64, length=2)
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        orderhash.as_text(F.col("slots")).alias("fingerprint"), orderhash.as_text(F.col("edited_slots")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 def op2_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
     return hyperlang.identify_languages(table(spark, folder, "documents"), keep=["doc_id"], n=3, dim=1024)
 
@@ -47,6 +55,7 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
     "op8_license_similarity_join": op8_license_similarity_join,
