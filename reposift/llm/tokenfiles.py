@@ -15,14 +15,15 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reposift.llm.bpe import byte_letters
 from reposift.llm.common import staged
 from reposift.llm.eliasfano import EliasFano
 
@@ -30,17 +31,18 @@ MAGIC = b"TOKENEF1"
 HEAD = struct.Struct("<8sQQQBQ")
 #: A block ends with the document that brings it to so many ids or documents; a file ends after so many blocks.
 BLOCK_IDS, BLOCK_DOCS, FILE_BLOCKS = 1 << 20, 1 << 16, 16
-CHUNK_BYTES = 1 << 20
-CACHED_WORDS, CACHED_LENGTH = 400_000, 48
+CACHED_WORDS, CACHED_LENGTH = 250_000, 48
 
 
-class WordTokens:
-    """The tokenizers library behind a cache of words.
+class WordTokens(dict):
+    """The tokenizers library behind a cache from a UTF-8 word to its packed ids.
 
-    UTF-8 text is cut at blanks and line feeds only.  A tokenizer whose words
-    never span white space, and which drops it and lower-cases, gives a text
-    the ids of its pieces.  The cache has two generations: words not met since
-    the last full one are forgotten.
+    Text is cut at blanks and line feeds only.  A tokenizer whose words never
+    span white space, and which drops it and lower-cases, gives a text the ids
+    of its pieces; a stop or comma behind a letter is a piece of its own.  Words
+    of lower-case letters go straight to the library's model, as normalising and
+    splitting leave them as they are.  The cache has two generations: words not
+    met since the last full one are forgotten.
     """
 
     def __init__(self, path: str):
@@ -50,11 +52,27 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.kind = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         self.width = array(self.kind).itemsize
-        self.young: dict[bytes, bytes] = {}
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.old: dict[bytes, bytes] = {}
 
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            text = word.decode()
+            if word[-1:] in (b".", b",") and word[-2:-1].isalpha():
+                found = self[word[:-1]] + self[word[-1:]]
+            elif text.isalpha() and text.islower() and (text.isascii() or is_normalized("NFC", text)):
+                spelt = text if text.isascii() else word.decode("latin-1").translate(self.letters)
+                found = array(self.kind, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            else:
+                found = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= CACHED_LENGTH:
+            self[word] = found
+        return found
+
     @staticmethod
     def words(text: bytes | None) -> list[bytes]:
         """Pieces of a text, in lower case where that can't change special tokens or the composition of accents."""
@@ -63,23 +81,12 @@ class WordTokens:
             text = text.lower()
         return text.replace(b"\n", b" ").split(b" ")
 
-    def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
-        """Packed ids of each text and the end id; a null text counts as empty."""
-        if len(self.young) > CACHED_WORDS:
-            self.young, self.old = {}, self.young
-        young, old, kind = self.young, self.old, self.kind
-        cut = [self.words(text) for text in texts]
-        missing = [w for w in set().union(*cut) if w not in young]
-        young.update((w, old[w]) for w in missing if w in old)
-        new = [w for w in missing if w not in young]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        young.update((w, array(kind, e.ids).tobytes()) for w, e in zip(new, found))
-        end = array(kind, [end_id]).tobytes()
-        out = [b"".join([young[w] for w in words]) + end for words in cut]
-        for word in new:
-            if len(word) > CACHED_LENGTH:
-                del young[word]
-        return out
+    def encode(self, text: bytes | None, end_id: int) -> bytes:
+        """Packed ids of a text and the end id; a null text counts as empty."""
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, self.words(text))) + array(self.kind, [end_id]).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -140,20 +147,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str) -
         known, part, before = tokens_of(tokenizer), TaskContext.get().partitionId(), 0
         names, ids, size = [], [], 0
         for batch in batches:
-            column = batch.column("text")
-            ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) // CHUNK_BYTES
-            first = np.r_[0, np.flatnonzero(np.diff(ends)) + 1]
-            for a, b in zip(first, np.r_[first[1:], batch.num_rows]):
-                if a == b:
-                    continue
-                encoded = known.encode(column.slice(a, b - a).to_pylist(), end_id)
-                for name, own in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), encoded):
-                    names.append(name)
-                    ids.append(own)
-                    size += len(own) // known.width
-                    if size >= BLOCK_IDS or len(names) >= BLOCK_DOCS:
-                        yield pa.RecordBatch.from_pydict({"value": pa.array([block(part, before, known.width, names, ids)], pa.binary())})
-                        before, names, ids, size = before + size, [], [], 0
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                names.append(name)
+                ids.append(known.encode(text.as_py(), end_id))
+                size += len(ids[-1]) // known.width
+                if size >= BLOCK_IDS or len(names) >= BLOCK_DOCS:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([block(part, before, known.width, names, ids)], pa.binary())})
+                    before, names, ids, size = before + size, [], [], 0
         if names:
             yield pa.RecordBatch.from_pydict({"value": pa.array([block(part, before, known.width, names, ids)], pa.binary())})
 
