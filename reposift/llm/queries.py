@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, hyperlang, licences, mixing, orderhash, simhash, tokenfiles
+from reposift.llm import bpe, crosspolytope, hyperlang, licences, mixing, orderhash, personal, simhash, tokenfiles
 from reposift.llm.common import table
 from reposift.session import work_path
 
@@ -54,12 +54,24 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.token_offsets(spark, path)
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find_personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(kind) for kind in personal.BASE], F.sha2(personal.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+                        personal.spans_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
     "op8_license_similarity_join": op8_license_similarity_join,
     "op9_token_files": op9_token_files,
+    "op10_personal_data": op10_personal_data,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op6_fair_queue_mix": op6_fair_queue_mix,
     "op7_simhash_near_copies": op7_simhash_near_copies,
