@@ -6,8 +6,8 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, hyperlang, licences, mixing, orderhash, personal, simhash, tokenfiles
-from reposift.llm.common import table
+from reposift.llm import bpe, crosspolytope, fixity, hyperlang, licences, mixing, orderhash, personal, simhash, tokenfiles
+from reposift.llm.common import staged, table
 from reposift.session import work_path
 
 
@@ -15,6 +15,21 @@ def op4_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op5_warc_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as WARC files in two replicas; the rule below damages about one record in 140 of them."""
+    page, url, html = F.col("page_id"), F.col("url"), F.col("html")
+    damage = F.substring(F.md5(F.coalesce(page.cast("string"), F.lit(""))), 1, 2)
+    harmed = F.when(damage == "00", F.concat(F.lit("~"), F.substring(F.coalesce(html, F.lit("")), F.lit(2), F.char_length(html)))).otherwise(html)
+    both = table(spark, folder, "pages").select(
+        fixity.warc_file(page, url).alias("file"), page.cast("long").alias("page_id"), "url", damage.alias("damage"),
+        fixity.record_entry(fixity.warc_record(page, url, html)).alias("left"),
+        fixity.record_entry(fixity.warc_record(page, url, harmed)).alias("right"))
+    both = fixity.placed(both.withColumn("length", F.col("left.length")), ["page_id", "url", "left.sha256"])
+    both = staged(both, "replicas")
+    replica = lambda side, lost: both.where(F.col("damage") != lost).select("file", "offset", f"{side}.length", f"{side}.sha256")
+    return fixity.audit(replica("left", "02"), replica("right", "01"))
+
+
 def op6_fair_queue_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
@@ -73,11 +88,37 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_personal_data": op10_personal_data,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op5_warc_merkle_fixity": op5_warc_merkle_fixity,
     "op6_fair_queue_mix": op6_fair_queue_mix,
     "op7_simhash_near_copies": op7_simhash_near_copies,
 }
 
 SQL = {
+    "op5_warc_merkle_fixity": r"""
+        with pages_ as (
+            select page_id, coalesce(url, '') as url, coalesce(html, '') as html,
+                   substr(md5(coalesce(cast(page_id as varchar), '')), 1, 2) as damage
+            from pages),
+        parts as (
+            select *, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:',
+                             coalesce(cast(page_id as varchar), ''), '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+                             'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ') as head,
+                   concat(chr(13), chr(10), chr(13), chr(10)) as gap,
+                   case when damage = '00' then concat('~', substr(html, 2)) else html end as harmed
+            from pages_),
+        records as (
+            select cast(floor(page_id / 1000) as bigint) as file, page_id, url, damage,
+                   concat(head, strlen(html), gap, html, gap) as a, concat(head, strlen(harmed), gap, harmed, gap) as b
+            from parts),
+        hashed as (select file, page_id, url, damage, strlen(a) as n, strlen(b) as m, sha256(a) as a, sha256(b) as b from records),
+        placed as (
+            select *, coalesce(sum(n) over (partition by file order by page_id, url, a rows between unbounded preceding and 1 preceding), 0) as begun
+            from hashed)
+        select file, cast(begun as bigint) as "offset",
+               case damage when '01' then 'missing' when '02' then 'extra' else 'changed' end as status,
+               case when damage <> '02' then a end as left_sha256, case when damage <> '01' then b end as right_sha256,
+               case when damage <> '02' then n end as left_length, case when damage <> '01' then m end as right_length
+        from placed where damage in ('01', '02') or damage = '00' and a <> b""",
     "op6_fair_queue_mix": r"""
         with sizes as (
             select doc_id, coalesce(concat('0', source), '1') as src,
