@@ -15,6 +15,8 @@ PLACE_BITS = 30
 PLACE, HASH = (1 << PLACE_BITS) - 1, ~((1 << PLACE_BITS) - 1)
 #: Equal k-mers before one that are looked at in turn; more are counted by halving.
 NEAR = 3
+#: A slot is a 16-bit number less this, so that it fits a short.
+LEAST_SLOT = 1 << 15
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,11 +65,11 @@ def _slot(items: Column, start: Column, length: int) -> Column:
         by_place = F.sort_array(F.transform(chosen, lambda x: F.shiftleft(_low(x, PLACE), 34).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS))))
         return F.xxhash64(F.transform(by_place, lambda x: _low(x, (1 << 34) - 1)))
 
-    return _low(_let(before, taken), 0xFFFF).cast("int")
+    return (_low(_let(before, taken), 0xFFFF) - LEAST_SLOT).cast("short")
 
 
 def signature(text: Column, starts: list[int], length: int = 2) -> Column:
-    """Order MinHash of a text: an array of 16-bit numbers, one per permutation.
+    """Order MinHash of a text: an array of shorts, one per permutation.
 
     Every k-mer is hashed together with its occurrence number.  Permutation j
     orders these items by (hash - starts[j]) modulo 2^64, that is, one random
@@ -96,11 +98,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(slots: Column) -> Column:
     """Four hexadecimal digits per permutation."""
-    return F.array_join(F.transform(slots, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
+    return F.array_join(F.transform(slots, lambda x: F.lpad(F.lower(F.hex(x.cast("int") + LEAST_SLOT)), 4, "0")), "")
 
 
-def with_next(docs: DataFrame, id_column: str, carried: list[str], tie: list[Column]) -> DataFrame:
-    """Add ``next_<c>`` for each carried column: its value in the next row by descending id, of the first row after the last.
+def with_next(docs: DataFrame, id_column: str, carried: list[str], tie: list[str]) -> DataFrame:
+    """Add ``next_<c>`` for each carried column, none of them null: its value in the next row by descending id, of the first row after the last.
 
     The ids are cut at quantiles into ranges; a row that ends a range is also
     sent to the range above it, whose last row it follows, and the largest id
@@ -122,11 +124,11 @@ def with_next(docs: DataFrame, id_column: str, carried: list[str], tie: list[Col
     above = F.struct(((F.col("_range") + 1) % max(1, count)).alias("range"), F.lit(True).alias("copy"))
     ends = F.coalesce(F.get(literal, F.col("_range")) == ids, F.lit(False))
     sent = ranged.withColumn("_to", F.explode(F.when(ends, F.array(own, above)).otherwise(F.array(own))))
-    window = Window.partitionBy("_to.range").orderBy("_to.copy", F.desc_nulls_last(id_column), *tie)
-    for name in carried:
-        value = F.struct(F.col(name))
-        sent = sent.withColumn(f"next_{name}", F.coalesce(F.lead(value).over(window), F.first(value).over(window))[name])
-    return sent.where(~F.col("_to.copy")).drop("_to", "_range")
+    # plain columns, so that one exchange and one sort serve all windows and no value is sent twice
+    sent = sent.select(*docs.columns, F.col("_to.range").alias("_range"), F.col("_to.copy").alias("_copy"))
+    window = Window.partitionBy("_range").orderBy("_copy", F.desc_nulls_last(id_column), *tie)
+    following = [F.coalesce(F.lead(c).over(window), F.first(c).over(window)).alias(f"next_{c}") for c in carried]
+    return sent.select(*docs.columns, "_copy", *following).where(~F.col("_copy")).drop("_copy")
 
 
 def order_fingerprints(docs: DataFrame, permutations: int = 64, length: int = 2, seed: int = 5) -> DataFrame:
@@ -137,7 +139,7 @@ def order_fingerprints(docs: DataFrame, permutations: int = 64, length: int = 2,
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return own.withColumn("slots", signature(F.col("text"), starting_places(permutations, seed), length).cast("array<int>"))
+    return own.withColumn("slots", signature(F.col("text"), starting_places(permutations, seed), length))
 
 
 def edited_fingerprints(docs: DataFrame, part: int = 3, permutations: int = 64, length: int = 2, seed: int = 5) -> DataFrame:
@@ -150,7 +152,8 @@ def edited_fingerprints(docs: DataFrame, part: int = 3, permutations: int = 64,
     hash of their texts and by the texts; a single document follows itself.
     """
     own = order_fingerprints(docs, permutations, length, seed)
-    chained = with_next(own, "doc_id", ["text", "slots"], [F.xxhash64("text"), F.col("text")])
+    own = own.withColumn("hash", F.xxhash64("text"))
+    chained = with_next(own, "doc_id", ["text", "slots"], ["hash", "text"])
     n = F.char_length("text")
     away = F.floor(n / part).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - away), F.substring("next_text", F.lit(1), away))
