@@ -113,7 +113,7 @@ def _stars(homes: np.ndarray, members: np.ndarray, threshold: int) -> np.ndarray
     """Links between homes and members as stars: fingerprints over the smallest one of their component here."""
     near_home, near_member = [], []
     for at in range(0, len(homes), 256):
-        apart = np.bitwise_count(homes[at : at + 256, None] ^ members[None, :])
+        apart = np.bitwise_count((homes[at : at + 256, None] ^ members[None, :]).view(np.uint64))  # of signed numbers it counts |x|
         i, j = np.nonzero((apart <= threshold) & (apart > 0))
         near_home.append(homes[at + i])
         near_member.append(members[j])
@@ -215,11 +215,10 @@ def near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` without all but one of each near-copy group: the row that names the group stays.
+    """The rows of ``docs`` without those that are near copies of a document with a smaller doc_id.
 
-    Rows that share the doc_id which names a group all stay; rows without
-    doc_id stay only where no row of their group has one.
+    So one document of each group stays.  Rows of one doc_id stay or go
+    together, and rows without doc_id stay.
     """
-    kept = near_copies(docs, threshold, shingle).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    copies = near_copies(docs, threshold, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["_copy_id"], "left_anti")
