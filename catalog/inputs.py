@@ -29,12 +29,11 @@ VIEWS = {
         select concat('repo', cast(label % 3 as string)) as repo_name, vec_id + 1 as issue_number,
                concat('T', cast(vec_id as string)) as title, label, embedding, cast(1 as bigint) as version
         from {embeddings}""",
-    # finished lines are history, open lines belong to pull requests
+    # every line is a commit, and a changed file of the order's pull request
     "commits": f"""
         select l.l_returnflag as repo_name, {_FILE} as file, s.s_name as author, l.l_quantity as weight,
                l.l_shipdate as date, l.l_orderkey * 100 + l.l_linenumber as seq
-        from {{lineitem}} l join {{part}} p on l.l_partkey = p.p_partkey join {{supplier}} s on l.l_suppkey = s.s_suppkey
-        where l.l_linestatus = 'F'""",
+        from {{lineitem}} l join {{part}} p on l.l_partkey = p.p_partkey join {{supplier}} s on l.l_suppkey = s.s_suppkey""",
     # line numbers 3 and 6: new file in a known directory, 5: new sub-directory, 7: root file
     "pr_files": f"""
         select l.l_returnflag as repo_name, l.l_orderkey as pr_number,
@@ -45,8 +44,7 @@ VIEWS = {
                     when l.l_linenumber = 5 then concat(lower(p.p_type), '/new_dir/sub/x.py')
                     when l.l_linenumber = 7 then 'NEWROOT.md'
                     else {_FILE} end as file
-        from {{lineitem}} l join {{part}} p on l.l_partkey = p.p_partkey join {{supplier}} s on l.l_suppkey = s.s_suppkey
-        where l.l_linestatus = 'O'""",
+        from {{lineitem}} l join {{part}} p on l.l_partkey = p.p_partkey join {{supplier}} s on l.l_suppkey = s.s_suppkey""",
     # commit records as they arrive: weights and dates are text of mixed quality
     "raw_commits": f"""
         select l.l_returnflag as repo_name,
@@ -93,14 +91,13 @@ VIEWS = {
         select concat('p', cast(page_id as string)) as id, concat('[page](', url, ') ', html) as raw from {pages}""",
 }
 
-# The repositories' newest issues, paired; the cap per repository is the operator's own parameter.
+# All issues, paired with those of the same repository and block of numbers.
 _PAIR_SQL = """
-    capped as (select * from (select *, row_number() over (partition by repo_name order by issue_number desc) as pos
-                              from issues) where pos <= 50),
     pairs as (select a.repo_name as repo, a.issue_number as issue_1_number, b.issue_number as issue_2_number,
                      concat(a.title, chr(10), regexp_replace(coalesce(a.body, ''), '^[WS]+|[WS]+$', '', 'g')) as issue_1_text,
                      concat(b.title, chr(10), regexp_replace(coalesce(b.body, ''), '^[WS]+|[WS]+$', '', 'g')) as issue_2_text
-              from capped a join capped b on a.repo_name = b.repo_name and a.pos < b.pos)"""
+              from issues a join issues b on a.repo_name = b.repo_name and a.issue_number // 200 = b.issue_number // 200
+                   and a.issue_number > b.issue_number)"""
 
 # Unicode white space, spelled out because RE2 knows only the ASCII part
 WS = r"\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -108,14 +105,14 @@ WS = r"\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 EXTRA_SQL = {
     "pairs": ("issues", _PAIR_SQL.replace("WS", WS).strip().replace("{", "{{").replace("}", "}}")),
     # every vector with its ten best matches; the shift spreads the scores over the thresholds in use
-    "matches": ("vectors", """matches as (
+    "matches": ("vectors", """matches as materialized (
         select repo_name, query_number, match_number, same, sim, rnk from (
           select *, row_number() over (partition by repo_name, query_number order by sim desc, match_number) as rnk from (
             select q.repo_name, q.issue_number as query_number, v.issue_number as match_number, q.label = v.label as same,
                    round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 9) as sim
             from vectors q join vectors v on q.repo_name = v.repo_name and q.issue_number <> v.issue_number))
         where rnk <= 10)"""),
-    "scored_pairs": ("matches", """scored_pairs as (
+    "scored_pairs": ("matches", """scored_pairs as materialized (
         select repo_name as repo, query_number as issue_1_number, match_number as issue_2_number,
                case when same then 1 else 0 end as true_label,
                round(greatest(cast(0 as double), least(cast(1 as double), cast(0.15 as double) + case when same then cast(0.15 as double) else cast(0 as double) end + sim)), 9) as cosine_similarity

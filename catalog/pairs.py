@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.inputs import view, with_views
-from catalog.text import clip_sql, normalize_sql
+from catalog.text import normalize_sql
+from reposift.functions import text as X
 from reposift.operators import cascade as C
 from reposift.operators import neighbours as N
 from reposift.operators import pairs as P
@@ -27,8 +28,12 @@ def _dump(spark, folder, path=None):
     return path
 
 
-def _pairs(spark, folder):
-    return P.repo_pairs(view(spark, folder, "issues"))
+BLOCK = 200  # issue numbers whose issues are paired within a repository
+NEWEST, CAP = 30, 7  # limits of the two queries whose feature is a limit
+
+
+def _pairs(spark, folder, with_text=True):
+    return P.block_pairs(view(spark, folder, "issues"), BLOCK, with_text)
 
 
 def scored(spark, folder):
@@ -62,7 +67,7 @@ def scan_issues(spark, folder):
 
 
 def issues_per_repo_cap(spark, folder):
-    return I.cap_per_repo(view(spark, folder, "issues")).select("repo_name", "issue_number", "pos")
+    return I.cap_per_repo(view(spark, folder, "issues"), CAP).select("repo_name", "issue_number", "pos")
 
 
 def scan_multi_repo(spark, folder):
@@ -100,7 +105,11 @@ def scan_progress(spark, folder):
 # --- pairs
 
 def repo_pairs(spark, folder):
-    return P.repo_pairs(view(spark, folder, "issues"), with_text=False)
+    return P.repo_pairs(view(spark, folder, "issues"), NEWEST, with_text=False)
+
+
+def block_pairs(spark, folder):
+    return _pairs(spark, folder, with_text=False)
 
 
 def unique_issues(spark, folder):
@@ -116,15 +125,28 @@ def issue_table(spark, folder):
 
 
 def _pair_vectors(spark, folder):
-    table = P.issue_table(_pairs(spark, folder))
-    return embed_texts(table, "issue_text")[0].select("repo", "issue_number", "embedding")
+    """Vectors of the issues themselves, so that no text is copied into pairs first."""
+    issues = view(spark, folder, "issues").select(
+        F.col("repo_name").alias("repo"), "issue_number", X.normalize_text(X.combine_text(F.col("title"), F.col("body"))).alias("issue_text"))
+    return embed_texts(issues, "issue_text")[0].select("repo", "issue_number", "embedding")
 
 
 def pair_embeddings(spark, folder):
-    """Vectors of one repository are left out, which shows up as missing keys."""
+    """Both vectors of every pair, told by sums and by weighted sums; those of one repository are left out and stay null."""
+    vectors = _pair_vectors(spark, folder).filter("repo <> 'src3'")
+    met = P.pair_embeddings(_pairs(spark, folder, with_text=False), vectors)
+
+    def told(n):
+        weighted = F.aggregate(F.transform(f"embedding_{n}", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+        return F.round(weighted, 4).alias(f"weighted_{n}")
+
+    return met.select(*KEY, told(1), told(2))
+
+
+def missing_vectors(spark, folder):
+    """Keys without a vector, once each."""
     vectors = _pair_vectors(spark, folder).filter("repo <> 'src3'")
-    met = P.pair_embeddings(repo_pairs(spark, folder), vectors)
-    return P.missing_vectors(met)
+    return P.missing_vectors(P.pair_embeddings(_pairs(spark, folder, with_text=False), vectors))
 
 
 def pair_cosine(spark, folder):
@@ -135,8 +157,8 @@ def pair_cosine(spark, folder):
 
 
 def scored_pair_corpus(spark, folder):
-    """The whole chain: pair, unpivot, embed once per issue, look up, score."""
-    met = P.score_pairs(repo_pairs(spark, folder), _pair_vectors(spark, folder))
+    """The whole chain: embed each issue once, pair, look up, score."""
+    met = P.score_pairs(_pairs(spark, folder, with_text=False), _pair_vectors(spark, folder))
     return met.select(*KEY, F.round("cosine_similarity", 6).alias("cosine_similarity"))
 
 
@@ -154,7 +176,7 @@ def already_labelled(spark, folder):
 
 
 def counts(spark, folder):
-    return P.pair_counts(view(spark, folder, "issues"))
+    return P.pair_counts(view(spark, folder, "issues"), BLOCK)
 
 
 def coerce_pair_types(spark, folder):
@@ -353,8 +375,8 @@ def fail_fast(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_issues, issues_per_repo_cap, scan_multi_repo, scan_pairs_csv, scan_progress, repo_pairs, unique_issues,
-    issue_table, pair_embeddings, pair_cosine, scored_pair_corpus, merge_progress, resume_antijoin, already_labelled,
+    scan_issues, issues_per_repo_cap, scan_multi_repo, scan_pairs_csv, scan_progress, repo_pairs, block_pairs, unique_issues,
+    issue_table, pair_embeddings, missing_vectors, pair_cosine, scored_pair_corpus, merge_progress, resume_antijoin, already_labelled,
     counts, coerce_pair_types, write_pairs, write_scored_pairs, write_labelled_pairs, write_with_fallback, llm_gate,
     second_check_needed, classify_pairs, cascade, branch_union, review_rows, label_to_int, label_checkpoints,
     label_pairs_job, fail_fast)}
@@ -384,13 +406,17 @@ _TEXTS = "md5(issue_1_text || '|' || issue_2_text)"
 SQL = {
     "scan_issues": with_views("issues", "select repo_name, issue_number, title, body from issues"),
     "issues_per_repo_cap": with_views("issues", """select repo_name, issue_number, pos from (
-        select *, row_number() over (partition by repo_name order by issue_number desc) as pos from issues) where pos <= 50"""),
+        select *, row_number() over (partition by repo_name order by issue_number desc) as pos from issues) where pos <= 7"""),
     "scan_multi_repo": with_views("issues", """
         select repo_name, count(*) as issues, 'read' as kind, cast(1 as bigint) as skipped_paths from issues group by repo_name
         union all select '', count(*), 'broken', cast(1 as bigint) from issues where repo_name = 'src1'"""),
     "scan_pairs_csv": with_views("pairs", f"select {_K}, {_TEXTS} as texts, '' as is_duplicate from pairs"),
     "scan_progress": with_views("progress", f"select {_K}, is_duplicate, final_confidence from progress"),
-    "repo_pairs": with_views("pairs", f"select {_K}, '' as is_duplicate from pairs"),
+    "repo_pairs": with_views("issues", """+capped as (
+        select * from issues qualify row_number() over (partition by repo_name order by issue_number desc) <= 30)
+        select a.repo_name as repo, a.issue_number as issue_1_number, b.issue_number as issue_2_number, '' as is_duplicate
+        from capped a join capped b on a.repo_name = b.repo_name and a.issue_number > b.issue_number"""),
+    "block_pairs": with_views("pairs", f"select {_K}, '' as is_duplicate from pairs"),
     "unique_issues": with_views("pairs", """+s as (
         select repo, issue_1_number as issue_number, 1 as side, issue_1_number as a, issue_2_number as b,
                issue_1_number || '/' || issue_2_number as issue_text from pairs
@@ -398,7 +424,14 @@ SQL = {
         select repo, issue_number, issue_text from s
         qualify row_number() over (partition by repo, issue_number order by side, a desc, b desc) = 1"""),
     "issue_table": with_views("pairs", f"+{_ISSUE_TABLE} select repo, issue_number, issue_text, issue_key from issue_table"),
-    "pair_embeddings": with_views("pairs", """select repo, n as issue_number from (
+    "pair_embeddings": with_views("pairs", f"""+{_ISSUE_TABLE}, {_HASHED.strip()},
+        told as (select i.repo, i.issue_number, round(coalesce(sum(u.x * (u.at + 1)), 0), 4) + 0.0 as weighted
+                 from issue_table i left join units u on u.repo = i.repo and u.issue_number = i.issue_number
+                 where i.repo <> 'src3' group by all)
+        select p.repo, p.issue_1_number, p.issue_2_number, a.weighted as weighted_1, b.weighted as weighted_2
+        from pairs p left join told a on a.repo = p.repo and a.issue_number = p.issue_1_number
+        left join told b on b.repo = p.repo and b.issue_number = p.issue_2_number"""),
+    "missing_vectors": with_views("pairs", """select repo, n as issue_number from (
         select repo, issue_1_number as n from pairs union select repo, issue_2_number from pairs) where repo = 'src3'"""),
     "pair_cosine": with_views("scored_pairs", f"""select s.repo, s.issue_1_number, s.issue_2_number,
         round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 9) as cosine_similarity
@@ -418,10 +451,10 @@ SQL = {
     "already_labelled": with_views("progress", f"select {_K} from progress where trim(is_duplicate) <> ''"),
     "counts": with_views("pairs", """
         select i.repo_name, i.issues, count(p.repo) as pairs
-        from (select repo_name, count(*) as issues from capped group by 1) i left join pairs p on p.repo = i.repo_name group by all"""),
+        from (select repo_name, count(*) as issues from issues group by 1) i left join pairs p on p.repo = i.repo_name group by all"""),
     "coerce_pair_types": with_views("pairs", f"""+n as (
         select {_K}, {normalize_sql('issue_1_text')} as t1, {normalize_sql('issue_2_text')} as t2 from pairs)
-        select {_K}, case when issue_1_number - issue_2_number = 3 then 'bad' else md5({clip_sql('t1')} || '|' || {clip_sql('t2')}) end as texts,
+        select {_K}, case when issue_1_number - issue_2_number = 3 then 'bad' else md5(t1 || '|' || t2) end as texts,
                case when issue_1_number - issue_2_number = 3 then null else cast(0.5 as double) end as cosine_similarity from n"""),
     "write_pairs": with_views("pairs", f"select {_K}, length(issue_1_text) as chars_1, '' as is_duplicate from pairs"),
     "write_scored_pairs": with_views("scored_pairs", f"select {_K}, cosine_similarity from scored_pairs"),
@@ -439,7 +472,7 @@ SQL = {
         select {_K}, case when not asked then false when again then dup2 else dup1 end as is_duplicate, {_CONF} as confidence,
                case when asked and not again then rev1 else false end as needs_review,
                case when asked and ((again and dup2) or (not again and dup1)) then 'same_bug' else 'not_duplicate' end as duplicate_type,
-               case when not asked then 'Cosine similarity is below 0.4, so this pair was auto-labeled as not duplicate.'
+               case when not asked then 'cosine below 0.4: not classified'
                     when again then 'second' else 'first' end as reason,
                case when asked then dup1 end as pass_1_is_duplicate, case when asked then conf1 end as pass_1_confidence,
                case when asked then rev1 end as pass_1_needs_review, asked and again as second_check_ran,

@@ -76,8 +76,8 @@ def escape_csv_formula(spark, folder):
 
 def render_prompts(spark, folder):
     """Requests of both passes for each issue against itself; whole texts, compared by digest."""
-    issues = view(spark, folder, "issues").withColumn("clipped", X.clip_issue_text(F.col("body")))
-    pair = (F.col("repo_name"), F.lit(0.5), F.col("issue_number"), F.col("clipped"), F.col("issue_number") + 1, F.col("clipped"))
+    issues = view(spark, folder, "issues").withColumn("text", X.normalize_text(F.col("body")))
+    pair = (F.col("repo_name"), F.lit(0.5), F.col("issue_number"), F.col("text"), F.col("issue_number") + 1, F.col("text"))
     first = F.struct(F.lit(True).alias("is_duplicate"), F.lit(0.5).alias("confidence"),
                      F.array(F.col("repo_name")).alias("matching_signals"))
     one, two = prompts.first_pass_prompt(*pair), prompts.verify_prompt(*pair, first)
@@ -118,12 +118,12 @@ QUERIES = {
                                render_prompts, l2_normalize, f1, clip, distance_to_similarity)},
 }
 
-# The same steps for RE2: no back-references, ASCII-only \s.
+# Fixed patterns: the same steps for RE2, without back-references, \s spelled out.
 _STEP_SQL = {
     "strip_html_comments": ("(?s)<!--.*?-->", ""),
     "strip_code_blocks": ("(?s)```.*?```", ""),
     "strip_inline_code": ("`[^`]*`", ""),
-    "strip_urls": (r"https?://(?:[a-z]|[A-Z0-9]|[$-_]|!)+", ""),
+    "strip_urls": (r"https?://[a-z!$-_]+", ""),
     "unwrap_links": (r"\[([^\]]+)\]\([^\)]+\)", r"\1"),
     "strip_headings": (f"(?m)^#+[{WS}]+", ""),
     "strip_blockquotes": (f"(?m)^>[{WS}]+", ""),
@@ -175,7 +175,7 @@ _ISSUE_TEXT = "select repo_name, issue_number, {} as text from issues"
 
 
 def _prompt_sql(template: str, extra: str = "") -> str:
-    fence = "'BEGIN_UNTRUSTED_ISSUE_' || {n} || chr(10) || clipped || chr(10) || 'END_UNTRUSTED_ISSUE_' || {n}"
+    fence = "'BEGIN_UNTRUSTED_ISSUE_' || {n} || chr(10) || t || chr(10) || 'END_UNTRUSTED_ISSUE_' || {n}"
     values = ["repo_name", "'0.5'", fence.format(n="issue_number"), fence.format(n="(issue_number + 1)"), extra]
     pieces = template.replace("'", "''").replace("\n", "' || chr(10) || '").split("%s")
     out = f"'{pieces[0]}'"
@@ -210,9 +210,8 @@ SQL = {
         select pr_number, pos, ['=', '+', '-', '@', ' =', '', ''''][(pos % 7) + 1] || message as cell from commit_messages)
         select pr_number, pos, case when cell[1] in ('=', '+', '-', '@') then '''' || cell else cell end as cell from cells"""),
     "render_prompts": with_views("issues", f"""+n as (select repo_name, issue_number, {normalize_sql('body')} as t from issues),
-        c as (select repo_name, issue_number, {clip_sql('t')} as clipped from n),
         p as (select issue_number, {_prompt_sql(prompts.FIRST_PASS_TEMPLATE)} as one,
-                     {_prompt_sql(prompts.VERIFY_TEMPLATE, _FIRST_JSON)} as two from c)
+                     {_prompt_sql(prompts.VERIFY_TEMPLATE, _FIRST_JSON)} as two from n)
         select issue_number, md5(one) as first_md5, length(one) as first_chars, md5(two) as verify_md5,
                length(two) as verify_chars from p"""),
     "l2_normalize": with_views("vectors", """+n as (

@@ -17,7 +17,6 @@ SCORE_DECIMALS = 2
 DEFAULT_COMMIT_WEIGHT = 1.0
 
 # Pair corpus and labelling
-MAX_ISSUES_PER_REPO = 50
 CLASSIFY_MIN_COSINE = 0.40
 MAX_ISSUE_TEXT_CHARS = 12_000
 TRUNCATION_NOTE = "\n\n[TRUNCATED: issue text exceeded the maximum length for classification.]"

@@ -34,7 +34,8 @@ _WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _OTHER_LINE_BREAK = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-_BLANKS_BEFORE_BREAK = r"(?U)[\s\x1c-\x1f&&[^\n]]+\n"
+# A run of blanks is tried from its first one only and never given back, so long runs take linear time.
+_BLANKS_BEFORE_BREAK = r"(?U)(?<![\s\x1c-\x1f&&[^\n]])[\s\x1c-\x1f&&[^\n]]++\n"
 
 
 def _remove(pattern: str) -> Callable[[Column], Column]:

@@ -5,36 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reposift import defaults
 from reposift.functions.text import clip_issue_text, combine_text, issue_key, normalize_text
 from reposift.functions.vectors import dot
+from reposift.operators.validation import require_positive
 from reposift.sources.issues import cap_per_repo
 from reposift.sources.pairs import PAIR_KEY
 
 
-def repo_pairs(
-    issues: DataFrame, max_per_repo: int = defaults.MAX_ISSUES_PER_REPO, with_text: bool = True
-) -> DataFrame:
-    """Every unordered pair of a repository's newest issues, the newer one first.
-
-    The cap bounds each repository to ``n(n-1)/2`` pairs.  Texts ride through
-    the self-join on the capped side only, so no second shuffle attaches them.
-    """
-    capped = cap_per_repo(issues, max_per_repo)
-    columns = [F.col("repo_name").alias("repo"), "pos", "issue_number"]
+def _meet(issues: DataFrame, keys: dict[str, Column], with_text: bool) -> DataFrame:
+    """Pairs of issues with equal keys, the newer one first."""
+    columns = [c.alias(name) for name, c in keys.items()] + [F.col("issue_number")]
     if with_text:
         columns.append(combine_text(F.col("title"), F.col("body")).alias("issue_text"))
-    side = capped.select(*columns)
+    side = issues.select(*columns)
 
     def renamed(n: int) -> DataFrame:
-        out = side.withColumnsRenamed({"issue_number": f"issue_{n}_number", "pos": f"pos_{n}"})
-        return out.withColumnRenamed("issue_text", f"issue_{n}_text") if with_text else out
+        return side.withColumnsRenamed({"issue_number": f"issue_{n}_number", "issue_text": f"issue_{n}_text"})
 
-    pairs = renamed(1).join(renamed(2), "repo").filter(F.col("pos_1") < F.col("pos_2"))
+    pairs = renamed(1).join(renamed(2), list(keys)).filter(F.col("issue_1_number") > F.col("issue_2_number"))
     texts = (["issue_1_text"], ["issue_2_text"]) if with_text else ([], [])
     return pairs.select("repo", "issue_1_number", *texts[0], "issue_2_number", *texts[1], F.lit("").alias("is_duplicate"))
 
 
+def repo_pairs(issues: DataFrame, max_per_repo: int, with_text: bool = True) -> DataFrame:
+    """Every unordered pair of a repository's ``max_per_repo`` newest issues: a corpus of bounded size, older issues left out."""
+    return _meet(cap_per_repo(issues, max_per_repo), {"repo": F.col("repo_name")}, with_text)
+
+
+def block_pairs(issues: DataFrame, width: int, with_text: bool = True) -> DataFrame:
+    """Every unordered pair of a repository's issues whose numbers lie in one block of ``width`` numbers.
+
+    No issue is left out, a block holds at most ``width`` of them, and the
+    pairs of one repository are dealt to as many tasks as it has blocks.
+    """
+    require_positive(width=width)
+    block = F.floor(F.col("issue_number") / width)
+    return _meet(issues, {"repo": F.col("repo_name"), "block": block}, with_text)
+
+
 def unpivot_pairs(pairs: DataFrame) -> DataFrame:
     """Both sides of every pair as rows, in one pass over the pairs."""
     sides = F.array(*[
@@ -136,21 +144,23 @@ def unlabelled(table: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return open_pairs.join(done, PAIR_KEY, "left_anti")
 
 
-def coerce_pair_types(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed pairs with clipped texts, and the rows whose key or score can't be read."""
+def coerce_pair_types(table: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Typed pairs with normalised texts, clipped to ``max_chars`` if given, and the rows whose key or score can't be read."""
     wanted = {"repo": "string", "issue_1_number": "bigint", "issue_2_number": "bigint", "cosine_similarity": "double"}
     bad = F.lit(False)
     for name, kind in wanted.items():
         bad = bad | F.col(name).try_cast(kind).isNull()
     judged = table.withColumn("_bad", bad)
+    clean = (lambda c: clip_issue_text(c, max_chars)) if max_chars else normalize_text
     typed = judged.filter(~F.col("_bad")).withColumns({
         **{name: F.col(name).try_cast(kind) for name, kind in wanted.items()},
-        **{f"issue_{n}_text": clip_issue_text(F.col(f"issue_{n}_text")) for n in (1, 2)},
+        **{f"issue_{n}_text": clean(F.col(f"issue_{n}_text")) for n in (1, 2)},
     })
     return typed.drop("_bad"), judged.filter("_bad").drop("_bad")
 
 
-def pair_counts(issues: DataFrame, max_per_repo: int = defaults.MAX_ISSUES_PER_REPO) -> DataFrame:
-    """Issues taken and pairs made per repository, without making the pairs."""
-    taken = issues.groupBy("repo_name").agg(F.least(F.count(F.lit(1)), F.lit(max_per_repo)).cast("bigint").alias("issues"))
-    return taken.withColumn("pairs", (F.col("issues") * (F.col("issues") - 1) / 2).cast("bigint"))
+def pair_counts(issues: DataFrame, width: int) -> DataFrame:
+    """Issues and pairs of :func:`block_pairs` per repository, without making the pairs."""
+    blocks = issues.groupBy("repo_name", F.floor(F.col("issue_number") / width).alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    made = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
+    return blocks.groupBy("repo_name").agg(F.sum("n").alias("issues"), F.sum(made).alias("pairs"))

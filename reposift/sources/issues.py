@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from reposift import defaults
 from reposift.operators.validation import require_positive
 
 ISSUE_SCHEMA = T.StructType([
@@ -21,7 +20,12 @@ _CORRUPT = "_corrupt_record"
 
 
 def read_issues(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Issues in every state: ``repo_name, issue_number, title, body``."""
+    """Issues in every state: ``repo_name, issue_number, title, body``; JSON lines that can't be parsed are left out.
+
+    :func:`read_issue_dumps` gives those lines as well.
+    """
+    if fmt == "json":
+        return read_issue_dumps(spark, [path])[0]
     return _named(spark.read.schema(ISSUE_SCHEMA).format(fmt).load(path))
 
 
@@ -54,7 +58,7 @@ def read_issue_dumps(spark: SparkSession, paths: list[str]) -> tuple[DataFrame,
     return good, bad, skipped
 
 
-def cap_per_repo(issues: DataFrame, limit: int = defaults.MAX_ISSUES_PER_REPO) -> DataFrame:
+def cap_per_repo(issues: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` issues of each repository with their position, newest first.
 
     The rank filter is applied before and after the shuffle, so a task never

@@ -19,11 +19,25 @@ def test_pair_counts(spark):
     table = issues(spark, {"a": 30, "b": 60, "c": 100, "d": 1})
     made = {r.repo: r["count"] for r in P.repo_pairs(table, 100).groupBy("repo").count().collect()}
     assert made == {"a": 435, "b": 1770, "c": 4950}
-    assert {r.repo_name: r.pairs for r in P.pair_counts(table, 100).collect()} == {**made, "d": 0}
-    capped = {r.repo: r["count"] for r in P.repo_pairs(table).groupBy("repo").count().collect()}
+    assert {r.repo_name: r.pairs for r in P.pair_counts(table, 1000).collect()} == {**made, "d": 0}
+    capped = {r.repo: r["count"] for r in P.repo_pairs(table, 50).groupBy("repo").count().collect()}
     assert capped == {"a": 435, "b": 1225, "c": 1225}
 
 
+def test_no_issue_is_left_out(spark, work):
+    table = issues(spark, {"a": 120, "b": 120})
+    pairs = P.block_pairs(table, 25)
+    wanted = {(repo, i, j) for repo in "ab" for i in range(1, 121) for j in range(1, i) if i // 25 == j // 25}
+    assert {(r.repo, r.issue_1_number, r.issue_2_number) for r in pairs.collect()} == wanted
+    assert P.issue_table(pairs).count() == 240
+    assert sum(r.pairs for r in P.pair_counts(table, 25).collect()) == len(wanted)
+    assert spark.read.parquet(S.write_pairs(pairs, work())).count() == len(wanted)
+    typed, bad = P.coerce_pair_types(pairs.selectExpr("*", "0.5 as cosine_similarity"))
+    assert (typed.count(), bad.count()) == (len(wanted), 0)
+    with pytest.raises(ValueError):
+        P.block_pairs(table, 0)
+
+
 def test_pairs_are_newest_first(spark):
     rows = P.repo_pairs(issues(spark, {"a": 4}), 3).collect()
     assert {(r.issue_1_number, r.issue_2_number) for r in rows} == {(4, 3), (4, 2), (3, 2)}

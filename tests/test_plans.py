@@ -29,12 +29,12 @@ def test_no_cross_joins(spark, module):
 
 
 def test_rank_limits_before_the_shuffle(spark):
-    text = plan(cap_per_repo(view(spark, FOLDER, "issues").drop("body")))
+    text = plan(cap_per_repo(view(spark, FOLDER, "issues").drop("body"), 50))
     assert text.count("WindowGroupLimit") == 2
 
 
 def test_pairs_need_no_further_shuffle(spark):
-    text = plan(P.repo_pairs(view(spark, FOLDER, "issues")))
+    text = plan(P.repo_pairs(view(spark, FOLDER, "issues"), 50))
     assert text.count("hashpartitioning(repo") <= 2
 
 
@@ -46,7 +46,7 @@ def test_sums_are_combined_before_the_shuffle(spark):
 
 def test_only_needed_columns_are_read(spark):
     text = plan(R.valid_commits(R.with_commit_defaults(view(spark, FOLDER, "commits"))).select("author", "weight"))
-    assert "l_comment" not in text and "l_extendedprice" not in text and "PushedFilters: [IsNotNull(l_linestatus), EqualTo(l_linestatus,F)" in text
+    assert "l_comment" not in text and "l_extendedprice" not in text and "PushedFilters: [IsNotNull(l_partkey)" in text
 
 
 def test_model_runs_once(spark):
