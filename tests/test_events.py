@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,51 @@ def test_stream_searches_before_it_stores(spark, work):
     assert got == {(0, 1): None, (0, 2): None, (1, 3): 1, (2, 3): 1, (2, 4): 2, (2, 5): None}
     actions = spark.read.parquet(f"{out}/actions").filter("action = 'comment'").collect()
     assert {r.message for r in actions} == {"Bot: Duplicate of #1 (100% match).", "Bot: Duplicate of #2 (100% match)."}
+
+
+def test_stream_finds_what_others_stored(spark, work):
+    """A preloaded table, a restart with a new checkpoint, compaction in between, and a batch that is repeated."""
+    from reposift.operators.embedding import embed_texts
+    from reposift.sinks import vector_table
+
+    path, table = work(), work()
+    texts = {1: "login page crashes", 2: "dark mode wanted", 7: "login page crashes", 8: "dark mode wanted", 9: "dark mode wanted"}
+
+    def arrive(*numbers):
+        bodies = [json.dumps(issue(number=n, title=texts[n], body="")) for n in numbers]
+        spark.createDataFrame([(n, "issues", sign(b), b) for n, b in zip(numbers, bodies)], EVENT_SCHEMA).coalesce(1).write.mode("append").json(path)
+
+    def run(table, checkpoint):
+        out = work()
+        jobs.stream_duplicates(stream_events(spark, path, max_files=1), SECRET, table, out, checkpoint, 256).awaitTermination()
+        return {r.issue_number: r.duplicate_of_number for r in spark.read.parquet(f"{out}/verdicts").collect()}
+
+    vector_table.ensure_table(spark, table)
+    arrive(1, 2)
+    stored = route_events(stream_source(spark, path), SECRET).filter("route = 'issues'").selectExpr(
+        "repo as repo_name", "number as issue_number", "title", "payload as document")
+    vector_table.upsert(embed_texts(stored, "document")[0], table, 256, version=6)
+    arrive(7)
+    first = work()
+    assert run(table, first) == {1: None, 2: None, 7: 1}
+    assert vector_table.next_version(spark, table) == 9
+    arrive(8)
+    assert run(table, first) == {8: 2}
+    table = vector_table.compact(spark, table, work())
+    assert run(table, work()) == {1: 7, 2: 8, 7: 1, 8: 2}
+
+    # a batch that failed after storing its rows is repeated under its own name
+    arrive(9)
+    again = work()
+    run(table, again)
+    commits = f"{again}/commits"
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    for name in (last, f".{last}.crc"):
+        os.remove(f"{commits}/{name}")
+    before = {r.id: r.version for r in vector_table.current(spark, table).collect()}
+    assert run(table, again) == {9: 2}
+    assert {r.id: r.version for r in vector_table.current(spark, table).collect()} == before
+
+
+def stream_source(spark, path):
+    return spark.read.schema(EVENT_SCHEMA).json(path)
