@@ -159,7 +159,9 @@ def ensure_vector_table(spark, folder):
     before = T.ensure_table(spark, path)
     T.upsert(_vectors(spark, folder), path, 64)
     after = T.ensure_table(spark, path)
-    return _vectors(spark, folder).agg(F.lit(before).cast("bigint").alias("before"), (F.count(F.lit(1)) - F.count(F.lit(1)) + after).alias("after"))
+    if after != before + _vectors(spark, folder).count():
+        raise AssertionError("the second call changed the table")
+    return T.current(spark, path).agg(F.lit(before).cast("bigint").alias("before"), F.count(F.lit(1)).alias("after"))
 
 
 def latest_version(spark, folder):
@@ -208,10 +210,31 @@ def valid_results(spark, folder):
         F.when(F.col("l_returnflag") != "N", F.col("l_linestatus") == "F").alias("is_duplicate"),
         (F.col("l_quantity") / 45.0).alias("confidence"),
         F.when(F.col("l_linenumber") == 1, F.lit("same_bug")).when(F.col("l_linenumber") == 2, F.lit("unclear"))
-        .otherwise(F.lit("other")).alias("duplicate_type"))
+        .otherwise(F.lit("other")).alias("duplicate_type"),
+        F.when(F.col("l_tax") != 0.01, F.lit(False)).alias("needs_review"), F.when(F.col("l_tax") != 0.02, F.lit("r")).alias("reason"))
     return _judged(lines, V.classification_checks())
 
 
+def valid_verdicts(spark, folder):
+    """Score ranges of duplicate verdicts, on order lines."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"),
+        (F.col("l_returnflag") == "R").alias("is_duplicate"), (F.col("l_quantity") / 45.0 - 0.1).alias("similarity_score"),
+        F.when(F.col("l_linenumber") < 4, F.col("l_orderkey")).alias("duplicate_of_number"))
+    return _judged(lines, V.verdict_checks())
+
+
+def valid_requests(spark, folder):
+    """Fields of review requests and scores of reviewers, on order lines."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"),
+        F.when(F.col("l_linenumber") == 1, F.lit(" ")).otherwise(F.col("l_returnflag")).alias("repo_name"),
+        F.when(F.col("l_linenumber") != 2, F.col("l_orderkey")).alias("pr_number"),
+        F.when(F.col("l_linenumber") != 3, F.lit("a")).alias("author_username"), F.lit("b").alias("author"),
+        (F.col("l_quantity") - 5).alias("relevance_score"))
+    return _judged(lines, [*V.request_checks(), *V.reviewer_checks()])
+
+
 def aligned_arrays(spark, folder):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     talks = spark.read.parquet(f"{folder}/conversations.parquet").groupBy("conv_id").agg(turns.alias("t"))
@@ -237,7 +260,7 @@ def param_checks(spark, folder):
     """Bad parameters are refused while the plan is built, before any row is read."""
     vectors, refused = _vectors(spark, folder), 0
     for attempt in (lambda: N.knn_topk(vectors, vectors, 0), lambda: T.of_repo(vectors, " "),
-                    lambda: N.duplicate_decision(vectors, vectors, 1.5), lambda: N.ann_join(vectors, vectors, -1)):
+                    lambda: N.duplicate_decision(vectors, vectors, 1.5), lambda: N.ann_join(vectors, vectors, -1, n_clusters=4, n_probe=1)):
         try:
             attempt()
         except ValueError:
@@ -249,7 +272,7 @@ QUERIES = {f.__name__: f for f in (
     embed_batch, non_empty_text, knn_topk, knn_rank, ann_join, ann_join_full_probe, repo_filter, similarity_threshold,
     duplicate_decision, find_duplicates, pr_duplicate_decision, triage_actions, match_message, vector_upsert,
     vector_upsert_batch, ensure_vector_table, latest_version, stored_repo_search, valid_metadata, valid_dimension,
-    valid_issue, valid_results, aligned_arrays, required_columns, param_checks)}
+    valid_issue, valid_results, valid_verdicts, valid_requests, aligned_arrays, required_columns, param_checks)}
 
 
 def hashed_sql(source: str, key: str, text: str) -> str:
@@ -298,7 +321,7 @@ _DECIDED = _near(_OTHER, 1) + f""", v1 as (select v.repo_name, v.issue_number, g
           case when score >= {THRESHOLD} then match_number end as duplicate_of_number from v1)"""
 _FLAWED = """+f as (select issue_number as row, label, case when label = 1 then ' ' || chr(9) else repo_name end as repo_name,
     case when label = 2 then -issue_number when label = 3 then 0 else issue_number end as issue_number from vectors)"""
-_EMPTY_REPO, _EMPTY_TITLE = "'Repository name cannot be empty.'", "'Title cannot be empty.'"
+_EMPTY_REPO, _EMPTY_TITLE = "'repo_name: blank'", "'title: blank'"
 _MERGED = """+m as (select repo_name || '#' || issue_number as id, repo_name, issue_number,
     case when label % 2 = 1 then 'new ' || title else title end as title,
     case when label % 2 = 1 and label <> 3 then 'doc ' || title else title end as document,
@@ -313,7 +336,7 @@ _RK = "repo_name, issue_number"
 SQL = {
     "embed_batch": with_views("issues", _ISSUE_TEXT + "," + hashed_sql("t", _RK, "text") + """
         select issue_number, units.at as pos, round(x, 6) as x from units"""),
-    "non_empty_text": """select conv_id, turn, case when role = 'assistant' then 'Cannot embed empty text.' else '' end as reason from conversations""",
+    "non_empty_text": """select conv_id, turn, case when role = 'assistant' then 'text: blank' else '' end as reason from conversations""",
     "knn_topk": with_views("vectors", _near("true", 3) + f" select {_KNN_COLUMNS} from r"),
     "knn_rank": with_views("vectors", _near(_OTHER, 10) + " select repo_name, query_number, match_number, rnk from r"),
     "ann_join_full_probe": with_views("vectors", _near(_OTHER, 3) + f" select {_KNN_COLUMNS} from r where sim >= 0.3"),
@@ -340,16 +363,23 @@ SQL = {
     "stored_repo_search": with_views("vectors", _near("true", 3, "q.repo_name = 'repo2'") + f" select {_KNN_COLUMNS} from r"),
     "valid_metadata": with_views("vectors", _FLAWED + f"""
         select row, case when label = 1 then {_EMPTY_REPO} when label in (4, 5) then {_EMPTY_TITLE}
-               when issue_number <= 0 then 'Issue number must be strictly positive.' else '' end as reason from f"""),
+               when issue_number <= 0 then 'issue_number: not above 0' else '' end as reason from f"""),
     "valid_dimension": with_views("vectors", _FLAWED + """
-        select row, case when label = 6 then 'Embedding dimension must be 64.' else '' end as reason from f"""),
+        select row, case when label = 6 then 'embedding: not 64 numbers' else '' end as reason from f"""),
     "valid_issue": with_views("vectors", _FLAWED + """
         select row, case when label = 1 then 'repo_name' when label in (4, 5) then 'title' else '' end as reason from f"""),
     "valid_results": """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row,
         case when l_returnflag = 'N' then 'is_duplicate' when l_quantity / 45 > 1 then 'confidence'
-             when l_linenumber > 2 then 'duplicate_type' else '' end as reason from lineitem""",
+             when l_linenumber > 2 then 'duplicate_type' when l_tax = 0.01 then 'needs_review' when l_tax = 0.02 then 'reason'
+             else '' end as reason from lineitem""",
+    "valid_verdicts": """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row,
+        case when l_quantity / 45 - 0.1 not between 0 and 1 then 'similarity_score'
+             when l_returnflag = 'R' and l_linenumber >= 4 then 'duplicate_of_number' else '' end as reason from lineitem""",
+    "valid_requests": """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row,
+        case l_linenumber when 1 then 'repo_name' when 2 then 'pr_number' when 3 then 'author_username'
+             else case when l_quantity < 5 then 'relevance_score' else '' end end as reason from lineitem""",
     "aligned_arrays": """select conv_id, role, md5(text) as text, '' as reason from conversations where conv_id % 10 <> 5
-        union all select distinct conv_id, '', '', 'All input lists must have the exact same length.' from conversations where conv_id % 10 = 5""",
+        union all select distinct conv_id, '', '', 'arrays: unequal lengths' from conversations where conv_id % 10 = 5""",
     "required_columns": "select c_custkey, c_name from customer",
     "param_checks": with_views("vectors", 'select repo_name, count(*) as "rows", cast(4 as bigint) as refused from vectors group by 1'),
 }

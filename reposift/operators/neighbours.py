@@ -13,8 +13,9 @@ and only the best ``k`` matches per query and block leave a task:
   only clusters which, by the triangle inequality on angles, may still hold a
   match as good as the k-th best so far (pivot-partitioned kNN join, Lu et al.,
   PVLDB 2012);
-* the approximate search visits the ``n_probe`` clusters nearest to the query
-  (inverted-file probing, Jegou et al., TPAMI 2011).
+* the approximate search visits the ``n_probe`` clusters of the repository that
+  are nearest to the query (inverted-file probing, Jegou et al., TPAMI 2011),
+  and more where those hold too few vectors.
 """
 
 from __future__ import annotations
@@ -169,13 +170,37 @@ def _reachable_clusters(pivots: list[list[float]]):
     return reachable.asNondeterministic()
 
 
+def _probed_clusters(pivots: list[list[float]], n_probe: int, least_rows: int):
+    """Arrow function: the nearest of the given clusters, ``n_probe`` of them or as many as hold ``least_rows`` rows."""
+
+    @F.pandas_udf("array<int>")
+    def probed(embedding, clusters, sizes):
+        import numpy as np
+        import pandas as pd
+
+        if len(embedding) == 0:
+            return pd.Series([], dtype=object)
+        centres = np.asarray(pivots)
+        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+        rows = np.stack(embedding.to_numpy()).astype("float64")
+        out = []
+        for row, ids, held in zip(rows, clusters, sizes):
+            order = np.argsort(-(centres[ids] @ row), kind="stable")
+            enough = int(np.searchsorted(np.cumsum(np.asarray(held)[order]), least_rows)) + 1
+            out.append(np.asarray(ids)[order[: max(n_probe, enough)]].tolist())
+        return pd.Series(out)
+
+    return probed.asNondeterministic()
+
+
 def _sub_block(number: Column, parts: Column) -> Column:
     return F.pmod(F.xxhash64(number), F.coalesce(parts, F.lit(1))).cast("int")
 
 
 def _cluster_stats(rows: DataFrame, block_rows: int) -> DataFrame:
     return rows.groupBy("repo_name", "cluster").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"), F.max("angle").alias("radius")
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"), F.max("angle").alias("radius"),
+        F.count(F.lit(1)).alias("held"),
     )
 
 
@@ -329,25 +354,29 @@ def ann_join(
     vectors: DataFrame,
     k: int = defaults.KNN_LIMIT,
     *,
-    n_clusters: int | None = None,
-    n_probe: int = 4,
+    n_clusters: int,
+    n_probe: int,
     exclude_self: bool = False,
     min_similarity: float | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate :func:`knn_topk`: only the ``n_probe`` nearest clusters are searched.
+    """Approximate :func:`knn_topk`: only the repository's ``n_probe`` clusters nearest to the query are searched.
 
+    The caller states clusters and probes; the plan is the same at every size.
     The matches are a part of all pairs and their scores are exact; raising
-    ``n_probe`` to ``n_clusters`` gives the exact result.
+    ``n_probe`` to ``n_clusters`` gives the exact result.  A query gets ``k``
+    matches wherever its repository holds as many: clusters are added until
+    they hold enough rows.
     """
-    require_positive(k=k, n_probe=n_probe, block_rows=block_rows)
-    clusters = _choose_clusters(vectors, queries, n_clusters, block_rows)
+    require_positive(k=k, n_clusters=n_clusters, n_probe=n_probe, block_rows=block_rows)
     asked, known = _prepare(queries, vectors)
-    pivots = _pick_pivots(known, clusters)
+    pivots = _pick_pivots(known, n_clusters)
     blocks, homes, stats = _assign(None if queries is vectors else asked, known, pivots, block_rows)
+    own = stats.groupBy("repo_name").agg(F.sort_array(F.collect_list(F.struct("cluster", "held"))).alias("own"))
+    probed = _probed_clusters(pivots, n_probe, k + int(exclude_self))
     visits = (
-        homes.withColumn("probed", _nearest_pivots(pivots, n_probe)("embedding"))
-        .withColumn("v_cluster", F.explode("probed.cluster"))
+        homes.join(own, "repo_name")
+        .withColumn("v_cluster", F.explode(probed("embedding", F.col("own.cluster"), F.col("own.held"))))
         .join(stats.select("repo_name", F.col("cluster").alias("v_cluster"), "parts"), ["repo_name", "v_cluster"])
         .withColumn("v_sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"q_cluster": F.col("cluster"), "q_sub": F.col("sub")})

@@ -53,18 +53,18 @@ def enforce(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
 
 def metadata_checks() -> list[tuple[str, Column]]:
     return [
-        ("Repository name cannot be empty.", not_blank(F.col("repo_name"))),
-        ("Title cannot be empty.", not_blank(F.col("title"))),
-        ("Issue number must be strictly positive.", F.col("issue_number") > 0),
+        ("repo_name: blank", not_blank(F.col("repo_name"))),
+        ("title: blank", not_blank(F.col("title"))),
+        ("issue_number: not above 0", F.col("issue_number") > 0),
     ]
 
 
 def dimension_check(dimension: int, column: str = "embedding") -> tuple[str, Column]:
-    return (f"Embedding dimension must be {dimension}.", F.size(F.col(column)) == dimension)
+    return (f"{column}: not {dimension} numbers", F.size(F.col(column)) == dimension)
 
 
 def text_check(column: str = "text") -> tuple[str, Column]:
-    return ("Cannot embed empty text.", not_blank(F.col(column)))
+    return (f"{column}: blank", not_blank(F.col(column)))
 
 
 def issue_checks() -> list[tuple[str, Column]]:
@@ -85,6 +85,8 @@ def classification_checks() -> list[tuple[str, Column]]:
         ("is_duplicate", F.col("is_duplicate").isNotNull()),
         ("confidence", in_unit_range(F.col("confidence"))),
         ("duplicate_type", F.col("duplicate_type").isin(defaults.DUPLICATE_TYPES)),
+        ("needs_review", F.col("needs_review").isNotNull()),
+        ("reason", F.col("reason").isNotNull()),
     ]
 
 
@@ -94,6 +96,34 @@ def verification_checks() -> list[tuple[str, Column]]:
         ("confidence", in_unit_range(F.col("confidence"))),
         ("duplicate_type", F.col("duplicate_type").isin(defaults.DUPLICATE_TYPES)),
         ("final_route", F.col("final_route").isin(defaults.FINAL_ROUTES)),
+        ("agree_with_first_pass", F.col("agree_with_first_pass").isNotNull()),
+        ("reason", F.col("reason").isNotNull()),
+    ]
+
+
+def verdict_checks() -> list[tuple[str, Column]]:
+    """A duplicate verdict: its score lies between 0 and 1, and a duplicate names what it repeats."""
+    return [
+        ("is_duplicate", F.col("is_duplicate").isNotNull()),
+        ("similarity_score", in_unit_range(F.col("similarity_score"))),
+        ("duplicate_of_number", ~F.col("is_duplicate") | F.col("duplicate_of_number").isNotNull()),
+    ]
+
+
+def request_checks() -> list[tuple[str, Column]]:
+    """A pull request to review."""
+    return [
+        ("repo_name", not_blank(F.col("repo_name"))),
+        ("pr_number", F.col("pr_number").isNotNull()),
+        ("author_username", not_blank(F.col("author_username"))),
+    ]
+
+
+def reviewer_checks() -> list[tuple[str, Column]]:
+    """A recommended reviewer: a name and a score that isn't negative."""
+    return [
+        ("author", not_blank(F.col("author"))),
+        ("relevance_score", (F.col("relevance_score") >= 0) & ~F.isnan(F.col("relevance_score"))),
     ]
 
 
@@ -103,6 +133,6 @@ def zip_aligned(df: DataFrame, arrays: list[str], keep: list[str] | None = None)
     same = F.lit(True)
     for length in lengths[1:]:
         same = same & (lengths[0] == length)
-    good, bad = split_valid(df, [("All input lists must have the exact same length.", same)])
+    good, bad = split_valid(df, [("arrays: unequal lengths", same)])
     rows = good.select(*(keep or []), F.inline(F.arrays_zip(*[F.col(a) for a in arrays])))
     return rows, bad

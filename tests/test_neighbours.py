@@ -82,6 +82,18 @@ def test_recall_on_clustered_vectors(table):
     assert row.expected == exact.count() and row.recall > 0.8
 
 
+def test_small_repositories_get_all_their_matches(spark):
+    import random
+
+    draw = random.Random(3)
+    sizes = {"large": 600, **{f"r{i}": i % 5 + 1 for i in range(30)}}
+    rows = [(repo, n, "t", [draw.gauss(0, 1) for _ in range(8)]) for repo, size in sizes.items() for n in range(size)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = N.ann_join(table, table, 3, n_clusters=40, n_probe=1, exclude_self=True).groupBy("repo_name", "query_number").count().collect()
+    counts = {(r.repo_name, r.query_number): r["count"] for r in got}
+    assert all(counts.get((repo, n), 0) == min(3, sizes[repo] - 1) for repo, n, _, _ in rows)
+
+
 def test_decision(spark):
     rows = [("r", 1, "a", [1.0, 0.0]), ("r", 2, "b", [0.85, 0.5267826876426369]), ("r", 3, "c", [-1.0, 0.0]), ("s", 1, "d", [1.0, 0.0])]
     got = {(r.repo_name, r.issue_number): (r.is_duplicate, round(r.similarity_score, 6), r.duplicate_of_number)
@@ -92,6 +104,6 @@ def test_decision(spark):
 
 def test_parameters(table):
     for bad in (lambda: N.knn_topk(table, table, 0), lambda: N.duplicate_decision(table, table, 1.01),
-                lambda: N.ann_join(table, table, n_probe=0)):
+                lambda: N.ann_join(table, table, n_clusters=4, n_probe=0)):
         with pytest.raises(ValueError):
             bad()
