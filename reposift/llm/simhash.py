@@ -221,4 +221,5 @@ def drop_near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> D
     together, and rows without doc_id stay.
     """
     copies = near_copies(docs, threshold, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_copy_id"], "left_anti")
+    # the list of copies grows with the documents, so the plan is a merge join at every size
+    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["_copy_id"], "left_anti")
