@@ -23,21 +23,40 @@ HOMES_PER_PART = 2048
 SLICE = 1 << 16
 
 
-def text_fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a whole text; no word: 0."""
-    words = (text or b"").lower().split()
+def _majority(hashes: np.ndarray, ones: np.ndarray) -> None:
+    """Add to ``ones`` how many of the hashes have each bit set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones += bits.sum(axis=0, dtype=np.int64)
+
+
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """The hashes themselves, or for each further turn another mixture of their bits."""
+    if turn:
+        hashes = (hashes + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = hashes ^ hashes >> np.uint64(29)
+    return hashes
+
+
+def _of_words(words: list[bytes], shingle: int, seed: int, turns: int) -> list[int]:
+    """``turns`` unsigned 64-bit SimHashes of the shingles of a word sequence; no word: 0."""
     if not words:
-        return 0
+        return [0] * turns
     joined, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
     starts, digest = [0, *ends], xxhash.xxh64_intdigest
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((turns, 64), np.int64)
     for at in range(0, n, SLICE):
         upto = min(n, at + SLICE)
-        hashes = [digest(joined[a : b - 1], seed) for a, b in zip(starts[at:upto], ends[min(len(words), shingle) - 1 + at :])]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > n))
+        hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts[at:upto], ends[min(len(words), shingle) - 1 + at :])], np.uint64)
+        for turn in range(turns):
+            _majority(_mixed(hashes, turn), ones[turn])
+    return [sum(1 << int(i) for i in np.flatnonzero(2 * row > n)) for row in ones]
+
+
+def text_fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a whole text; no word: 0."""
+    return _of_words((text or b"").lower().split(), shingle, seed, 1)[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -109,14 +128,21 @@ def anchors(fps: np.ndarray, threshold: int = 2) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(home)
 
 
-def _stars(homes: np.ndarray, members: np.ndarray, threshold: int) -> np.ndarray:
-    """Links between homes and members as stars: fingerprints over the smallest one of their component here."""
+def _stars(homes: np.ndarray, members: np.ndarray, differing: int) -> np.ndarray:
+    """Links between homes and members as stars: nodes over the smallest one of their component here.
+
+    A row holds a node and the words of its check; two are linked if their
+    checks differ in ``differing`` or fewer bits.
+    """
     near_home, near_member = [], []
     for at in range(0, len(homes), 256):
-        apart = np.bitwise_count((homes[at : at + 256, None] ^ members[None, :]).view(np.uint64))  # of signed numbers it counts |x|
-        i, j = np.nonzero((apart <= threshold) & (apart > 0))
-        near_home.append(homes[at + i])
-        near_member.append(members[j])
+        some, apart = homes[at : at + 256], 0
+        for k in range(1, homes.shape[1]):
+            # of signed numbers bitwise_count counts the bits of |x|
+            apart = apart + np.bitwise_count((some[:, k, None] ^ members[None, :, k]).view(np.uint64)).astype(np.int16)
+        i, j = np.nonzero((apart <= differing) & (some[:, 0, None] != members[None, :, 0]))
+        near_home.append(some[i, 0])
+        near_member.append(members[j, 0])
     u, v = np.concatenate(near_home), np.concatenate(near_member)
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b, label = ends[: len(u)], ends[len(u) :], np.arange(len(nodes))
@@ -132,67 +158,81 @@ def _stars(homes: np.ndarray, members: np.ndarray, threshold: int) -> np.ndarray
     return np.stack([nodes[other], nodes[label[other]]])
 
 
-def fingerprint_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
-    """Stars ``u, v`` joining all distinct fingerprints ``fp`` that links of ``threshold`` or fewer bits connect.
+def anchor_links(nodes: DataFrame, node: str, probes: list[str], checks: list[str], threshold: int, differing: int) -> DataFrame:
+    """Stars ``u, v`` of the links between distinct nodes that meet at an anchor and whose checks are near.
 
-    Rows sent to anchors grow in proportion to the input (about 61 a
-    fingerprint); the pairs that meet are compared inside a task, and only one
-    row per linked fingerprint and anchor leaves it.  Anchors with many homes
-    are split into parts of about HOMES_PER_PART homes, each with all members.
+    ``probes`` are 64-bit fingerprints: nodes within ``threshold`` bits in one
+    of them meet.  ``checks`` together may differ in ``differing`` bits.  Rows
+    sent to anchors grow in proportion to the input (about 61 a fingerprint at
+    threshold 2); the pairs that meet are compared inside a task, and only one
+    row per linked node and anchor leaves it.  Anchors with many homes are
+    split into parts of about HOMES_PER_PART homes, each with all members; the
+    members of a part are streamed.
     """
+    carried = list(dict.fromkeys([node, *checks]))
+    pick = [carried.index(node), *map(carried.index, checks)]
 
-    def send(reach: int):
+    def send(reach: int, columns: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fps = batch.column("fp").to_numpy(zero_copy_only=False)
-                for at in range(0, len(fps), 4096):
-                    some = fps[at : at + 4096]
-                    rows, keys, home = anchors(some, reach)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[rows]), pa.array(home)], ["anchor", "fp", "home"])
+                for at in range(0, batch.num_rows, 4096):
+                    some = batch.slice(at, 4096)
+                    for table, probe in enumerate(probes):
+                        rows, keys, home = anchors(some.column(probe).to_numpy(zero_copy_only=False), reach)
+                        sent = some.select(columns).take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys | table << 2 * BLOCK), pa.array(home), *sent.columns], ["anchor", "home", *columns])
 
         return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, homes = None, np.empty(0, np.int64)
+        key, homes = None, np.empty((0, len(pick)), np.int64)
         for batch in batches:
-            anchor, part, fp, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "part", "fp", "home"))
-            if not len(fp):
+            anchor, part, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "part", "home"))
+            if not len(home):
                 continue
+            rows = np.stack([batch.column(carried[k]).to_numpy(zero_copy_only=False) for k in pick], axis=1)
             first = np.r_[0, np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1]
-            last = np.r_[first[1:], len(fp)]
+            last = np.r_[first[1:], len(home)]
             goes_on = (anchor[0], part[0]) == key
             useful = home[first] & (last - first > 1)
             useful[0] |= goes_on
             useful[-1] |= home[first[-1]]
             found = [np.empty((2, 0), np.int64)]
             for a, b in zip(first[useful], last[useful]):
-                own = fp[a:b][home[a:b]]
+                own = rows[a:b][home[a:b]]
                 homes = np.concatenate([homes, own]) if a == 0 and goes_on else own
                 if len(homes):
-                    found.append(_stars(homes, fp[a:b], threshold))
+                    found.append(_stars(homes, rows[a:b], differing))
             if not useful[-1]:
-                homes = np.empty(0, np.int64)
+                homes = np.empty((0, len(pick)), np.int64)
             key = (anchor[-1], part[-1])
             u, v = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    homes = distinct.select("fp").mapInArrow(send(0), "anchor long, fp long, home boolean")
+    nodes = nodes.select(*dict.fromkeys([*carried, *probes]))
+    homes = nodes.mapInArrow(send(0, []), "anchor long, home boolean")
     full = (
         homes.groupBy("anchor").count().where(F.col("count") > HOMES_PER_PART)
         .select("anchor", F.ceil(F.col("count") / HOMES_PER_PART).cast("int").alias("parts"))
     )
     parts = F.coalesce("parts", F.lit(1))
+    sent = nodes.mapInArrow(send(threshold, carried), "anchor long, home boolean, " + ", ".join(f"{c} long" for c in carried))
     return (
-        distinct.select("fp").mapInArrow(send(threshold), "anchor long, fp long, home boolean")
-        .join(staged(full, "full-anchors"), "anchor", "left")
-        .select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "fp",
-                "home", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
-        .select("anchor", "part", "fp", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"))
+        sent.join(staged(full, "full-anchors"), "anchor", "left")
+        .select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "home", *carried,
+                F.pmod(F.xxhash64(node), parts).cast("int").alias("own"))
+        .select("anchor", "part", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"), *carried)
         .repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
         .mapInArrow(compare, "u long, v long")
     )
 
 
+def fingerprint_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
+    """Stars ``u, v`` joining all distinct fingerprints ``fp`` that links of ``threshold`` or fewer bits connect."""
+    return anchor_links(distinct, "fp", ["fp"], ["fp"], threshold, threshold)
+
+
 def near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
     """Near-copy groups of whole texts: ``doc_id, fp, component_id``, a row per document.
 
@@ -214,12 +254,44 @@ def near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFr
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` without those that are near copies of a document with a smaller doc_id.
+def similar_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, threshold: int = 2) -> DataFrame:
+    """Near-copy groups of whole texts by estimated similarity: ``doc_id, component_id``, a row per document.
+
+    Documents are compared if one of two SimHashes of their single words lies
+    within ``threshold`` bits, which few edits hardly move, and linked if
+    ``similarity`` or more of the 128 bits of their shingles' SimHashes agree.
+    Equal sets of fingerprints are one node.  Odd rows as in :func:`near_copies`.
+    """
+    names = ["p0", "p1", "c0", "c1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.empty((batch.num_rows, 4), np.uint64)
+            for row, text in enumerate(batch.column("text")):
+                words = (text.as_py() or b"").lower().split()
+                found[row] = _of_words(words, 1, 42, 2) + _of_words(words, shingle, 42, 2)
+            columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own = staged(own.mapInArrow(run, "doc_id long, p0 long, p1 long, c0 long, c1 long"), "sketches")
+    nodes = own.groupBy(*names).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    nodes = staged(nodes, "nodes")
+    differing = int(128 * (1 - similarity) + 1e-9)
+    links = anchor_links(nodes, "node", ["p0", "p1"], ["c0", "c1"], threshold, differing)
+    roots = staged(connected_components(links), "roots")
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = staged(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    named = staged(rooted.join(least, "root").select(*names, "component_id"), "named")
+    return own.join(named, names).select("doc_id", "component_id")
+
+
+def drop_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that are near copies of a document with a smaller doc_id, by ``groups(doc_id, component_id)``.
 
     So one document of each group stays.  Rows of one doc_id stay or go
     together, and rows without doc_id stay.
     """
-    copies = near_copies(docs, threshold, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
     # the list of copies grows with the documents, so the plan is a merge join at every size
     return docs.join(copies.hint("merge"), docs["doc_id"] == copies["_copy_id"], "left_anti")
