@@ -369,9 +369,8 @@ def fail_fast(spark, folder):
         labelling.label_in_batches(spark.read.parquet(source), store, breaks, second_scorer, batches=4)
     except labelling.ClassificationStopped:
         stopped = True
-    kept = spark.read.parquet(store).select(labelling.batch_of(4).alias("batch"))
-    return kept.groupBy("batch").agg(F.lit(stopped).alias("stopped")).select(
-        (F.col("batch") < last).alias("before_failure"), "stopped").distinct()
+    kept = spark.read.parquet(store).groupBy(labelling.batch_of(4).cast("bigint").alias("batch"))
+    return kept.agg(F.count(F.lit(1)).alias("kept"), F.sum("is_duplicate").cast("bigint").alias("duplicates"), F.lit(stopped).alias("stopped"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -495,5 +494,9 @@ SQL = {
                case when p_label is not null then p_conf else {_CONF} end as final_confidence,
                count(*) filter (where p_label is null) over () as processed,
                count(*) filter (where p_label is not null) over () as skipped from m"""),
-    "fail_fast": "select true as before_failure, true as stopped",
+    "fail_fast": with_views("scored_pairs", f"""+{_FIRST},
+        b as (select {_LABEL} as label, cast(('0x' || substring(md5(concat_ws('|', repo, issue_1_number, issue_2_number)), 1, 8)) as bigint) % 4 as batch
+              from gated)
+        select batch, count(*) as kept, cast(sum(label) as bigint) as duplicates, true as stopped from b
+        where batch < (select max(batch) from b) group by batch"""),
 }

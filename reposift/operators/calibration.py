@@ -15,7 +15,8 @@ from reposift.functions.vectors import f1
 from reposift.operators.validation import require_positive
 from reposift.session import cut_lineage
 
-CURVE_BUCKETS = 256
+#: Distinct scores of one range, which one task puts into order.
+CURVE_ROWS = 20_000
 
 
 def label_union(positives: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -43,17 +44,19 @@ def score_counts(sample: DataFrame) -> DataFrame:
         F.sum(F.col("is_duplicate").cast("bigint")).alias("positives"), F.count(F.lit(1)).alias("rows"))
 
 
-def pr_curve(sample: DataFrame, buckets: int = CURVE_BUCKETS) -> DataFrame:
+def pr_curve(sample: DataFrame, buckets: int | None = None) -> DataFrame:
     """Precision, recall and F1 for every distinct score taken as threshold.
 
     A row is predicted positive when its score reaches the threshold.  Running
     sums are taken in two levels: scores are cut into ``buckets`` ranges of
     about equal size, the sums of whole ranges (at most ``buckets`` rows) give
     each range its starting point, and only rows of one range are ordered in
-    one task.
+    one task.  Unless stated, the number of ranges follows the number of
+    distinct scores.
     """
-    require_positive(buckets=buckets)
     counts = cut_lineage(score_counts(sample))
+    buckets = counts.count() // CURVE_ROWS + 1 if buckets is None else buckets
+    require_positive(buckets=buckets)
     shares = [i / buckets for i in range(1, buckets)]
     # at most `buckets` numbers reach the driver
     cuts = sorted(set(counts.approxQuantile("similarity", shares, 0.1 / buckets))) if shares else []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -19,6 +20,7 @@ from reposift.sources.pairs import PAIR_KEY
 
 
 _BATCH = "label_batch"
+BATCH_ROWS = 100_000
 
 
 class ClassificationStopped(RuntimeError):
@@ -33,7 +35,9 @@ class LabelReport:
 
 
 def batch_of(batches: int) -> Column:
-    return F.pmod(F.xxhash64(*PAIR_KEY), F.lit(batches)).cast("int")
+    """Share of a pair by the MD5 of its key, which other engines can repeat."""
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in PAIR_KEY]))
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), F.lit(batches)).cast("int")
 
 
 def _labels_so_far(spark: SparkSession, path: str) -> DataFrame | None:
@@ -48,7 +52,7 @@ def label_in_batches(
     label_path: str,
     first: Classifier,
     second: Classifier,
-    batches: int = 16,
+    batches: int | None = None,
     on_error: str = "raise",
     minimum: float = defaults.CLASSIFY_MIN_COSINE,
 ) -> None:
@@ -57,11 +61,13 @@ def label_in_batches(
     A batch is a share of the pair keys by hash and is appended whole or not
     at all.  A rerun after a failure only classifies pairs without a label.
     The open pairs are staged once, partitioned by batch, so a batch reads its
-    own share and nothing else.
+    own share and nothing else.  Unless stated, there is a batch for every
+    BATCH_ROWS open pairs.
     """
-    require_positive(batches=batches)
     spark = pairs.sparkSession
     todo = unlabelled(pairs, _labels_so_far(spark, label_path))
+    batches = math.ceil(todo.count() / BATCH_ROWS) or 1 if batches is None else batches
+    require_positive(batches=batches)
     staged = work_path(spark, "to-label")
     todo.withColumn(_BATCH, batch_of(batches)).hint("rebalance", F.col(_BATCH)).write.partitionBy(_BATCH).parquet(staged)
     stored = T.StructType([*todo.schema.fields, T.StructField(_BATCH, T.IntegerType())])
@@ -84,7 +90,7 @@ def label_pairs_job(
     second: Classifier,
     *,
     earlier_path: str | None = None,
-    batches: int = 16,
+    batches: int | None = None,
     on_error: str = "raise",
 ) -> LabelReport:
     """Label a stored table of scored pairs and write it as CSV with all its rows."""
@@ -96,6 +102,7 @@ def label_pairs_job(
 
     fresh = spark.read.parquet(label_path).select(*PAIR_KEY, F.col("is_duplicate").cast("string").alias("is_duplicate"), "final_confidence")
     result = merge_progress(merged, fresh) if "is_duplicate" in merged.columns else table.join(fresh, PAIR_KEY, "left")
+    result = cut_lineage(result)  # written and counted
     used = write_with_fallback(lambda path: write_labelled_pairs(result, path), output_path, fallback_path)
     totals = result.join(todo.select(*PAIR_KEY).withColumn("asked", F.lit(1)), PAIR_KEY, "left").agg(
         F.count_if(F.col("asked").isNotNull() & is_labelled(F.col("is_duplicate"))).alias("processed"),
