@@ -186,6 +186,26 @@ def _all_scores(sources: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
+def _scores_by_source_set(sources: DataFrame, owners: DataFrame, top_k: int) -> DataFrame:
+    """Enough of the best candidates of each pull request for its top ``top_k``, each distinct set of sources scored once.
+
+    A pull request's author takes at most one place, so the best ``top_k + 1``
+    of its set are enough.
+    """
+    drawn = F.array_sort(F.collect_list(F.struct("kind", "path", "times")))
+    pulls = sources.groupBy("repo_name", "pr_number", "author_username").agg(drawn.alias("drawn"))
+    pulls = cut_lineage(pulls.withColumn("source_set", F.sha2(F.to_json("drawn"), 256)))
+    sets = pulls.groupBy("repo_name", "source_set").agg(F.first("drawn").alias("drawn"))
+    scores = (
+        sets.select("repo_name", "source_set", F.inline("drawn")).join(owners, _SOURCE)
+        .groupBy("repo_name", "source_set", "author").agg(F.sum(F.col("score") * F.col("times")).alias("score"))
+    )
+    order = Window.partitionBy("repo_name", "source_set").orderBy(F.desc(F.round("score", 9)), F.asc("author"))
+    best = scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top_k + 1)
+    met = pulls.select("repo_name", "pr_number", "author_username", "source_set").join(best, ["repo_name", "source_set"])
+    return exclude_author(met).select("repo_name", "pr_number", "author", "score")
+
+
 def _owner_heads(owners: DataFrame, head: int, short: int) -> DataFrame:
     """The ``head`` best owners of each source, and the scores just behind rank ``head`` and rank ``short``.
 
@@ -280,7 +300,8 @@ def recommend_reviewers(
     source are met first.  Bounds on what an owner may have elsewhere (the
     threshold algorithm, Fagin et al., PODS 2001) show which of them can reach
     the top; those get their missing scores by look-up.  Pull requests for
-    which the bounds don't suffice are scored in full, so the result is exact.
+    which the bounds don't suffice are scored in full, once for all that draw on
+    the same sources, so the result is exact.
     """
     require_positive(top_k=top_k, head=head)
     head = max(head, top_k + 2)
@@ -298,7 +319,7 @@ def recommend_reviewers(
     )
     # a pull request whose only seen owner is its author isn't in `bounded` and is scored in full as well
     done = settled.select("repo_name", "pr_number").distinct()
-    full = _all_scores(sources.join(done, ["repo_name", "pr_number"], "left_anti"), owners)
+    full = _scores_by_source_set(sources.join(done, ["repo_name", "pr_number"], "left_anti"), owners, top_k)
     return rank_reviewers(exact.unionByName(looked_up).unionByName(full), top_k)
 
 
