@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reposift.llm.common import staged
 
 
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Components of links between ``a`` and ``b`` inside one task: nodes in order, the places of a and b, the place of each node's root."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(root[left], root[right]), root.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if np.array_equal(new, root):
+            return nodes, left, right, root
+        root = new
+
+
 def _smallest(links: DataFrame) -> DataFrame:
     """Each node's smallest neighbour or itself; sums map-side, so a hub costs one row per task."""
     return staged(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "smallest")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reposift.llm.common import staged
-from reposift.llm.components import connected_components
+from reposift.llm.components import connected_components, local_roots
 
 ROTATIONS = 3
 HOMES_PER_PART = 2048
@@ -178,20 +178,11 @@ def bucket_links(vectors: DataFrame, least: float, tables: int, hashes: int, pro
 
 def _stars(a: np.ndarray, b: np.ndarray, of_b: np.ndarray, of_a: np.ndarray) -> np.ndarray:
     """Linked vectors, the smallest one of their component here, and the rows each is linked with."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
-    while True:
-        small, new = np.minimum(label[left], label[right]), label.copy()
-        np.minimum.at(new, left, small)
-        np.minimum.at(new, right, small)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
+    nodes, left, right, root = local_roots(a, b)
     links = np.zeros(len(nodes), np.int64)
     np.add.at(links, left, of_a)
     np.add.at(links, right, of_b)
-    return np.stack([nodes, nodes[label], links])
+    return np.stack([nodes, nodes[root], links])
 
 
 def near_vectors(

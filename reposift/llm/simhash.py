@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reposift.llm.common import staged
-from reposift.llm.components import connected_components
+from reposift.llm.components import connected_components, local_roots
 
 # The binary Golay code: 23 bits, 4,096 codewords, every word within 3 bits of exactly one of them.
 BLOCK, RADIUS = 23, 3
@@ -143,19 +143,9 @@ def _stars(homes: np.ndarray, members: np.ndarray, differing: int) -> np.ndarray
         i, j = np.nonzero((apart <= differing) & (some[:, 0, None] != members[None, :, 0]))
         near_home.append(some[i, 0])
         near_member.append(members[j, 0])
-    u, v = np.concatenate(near_home), np.concatenate(near_member)
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b, label = ends[: len(u)], ends[len(u) :], np.arange(len(nodes))
-    while True:
-        small, new = np.minimum(label[a], label[b]), label.copy()
-        np.minimum.at(new, a, small)
-        np.minimum.at(new, b, small)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    other = label != np.arange(len(nodes))
-    return np.stack([nodes[other], nodes[label[other]]])
+    nodes, _, _, root = local_roots(np.concatenate(near_home), np.concatenate(near_member))
+    other = root != np.arange(len(nodes))
+    return np.stack([nodes[other], nodes[root[other]]])
 
 
 def anchor_links(nodes: DataFrame, node: str, probes: list[str], checks: list[str], threshold: int, differing: int) -> DataFrame:
