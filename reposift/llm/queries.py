@@ -11,6 +11,22 @@ from reposift.llm.common import staged, table
 from reposift.session import work_path
 
 
+def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = orderhash.edited_fingerprints(table(spark, folder, "documents"), permutations=64, length=2)
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        orderhash.as_text(F.col("slots")).alias("fingerprint"), orderhash.as_text(F.col("edited_slots")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
+def op2_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperlang.identify_languages(table(spark, folder, "documents"), keep=["doc_id"], n=3, dim=1024)
+
+
+def op3_crosspolytope_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, folder, "embeddings"), least=0.98, tables=4, hashes=2, probes=4)
+
+
 def op4_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -40,22 +56,6 @@ def op7_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    found = orderhash.edited_fingerprints(table(spark, folder, "documents"), permutations=64, length=2)
-    return found.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        orderhash.as_text(F.col("slots")).alias("fingerprint"), orderhash.as_text(F.col("edited_slots")).alias("edited_fingerprint"),
-        "near_edited", "near_next")
-
-
-def op2_hyperdimensional_language(spark: SparkSession, folder: str) -> DataFrame:
-    return hyperlang.identify_languages(table(spark, folder, "documents"), keep=["doc_id"], n=3, dim=1024)
-
-
-def op3_crosspolytope_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return crosspolytope.near_vectors(table(spark, folder, "embeddings"), least=0.98, tables=4, hashes=2, probes=4)
-
-
 def op8_license_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.scan_licences(table(spark, folder, "documents"), threshold=0.9)
     labels = F.array_join(F.array_sort(F.array_distinct(F.col("found.label"))), ",")
@@ -80,18 +80,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
                         personal.spans_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {
-    "op1_order_minhash": op1_order_minhash,
-    "op2_hyperdimensional_language": op2_hyperdimensional_language,
-    "op3_crosspolytope_near_vectors": op3_crosspolytope_near_vectors,
-    "op8_license_similarity_join": op8_license_similarity_join,
-    "op9_token_files": op9_token_files,
-    "op10_personal_data": op10_personal_data,
-    "op4_bpe_encode_decode": op4_bpe_encode_decode,
-    "op5_warc_merkle_fixity": op5_warc_merkle_fixity,
-    "op6_fair_queue_mix": op6_fair_queue_mix,
-    "op7_simhash_near_copies": op7_simhash_near_copies,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_order_minhash, op2_hyperdimensional_language, op3_crosspolytope_near_vectors, op4_bpe_encode_decode,
+    op5_warc_merkle_fixity, op6_fair_queue_mix, op7_simhash_near_copies, op8_license_similarity_join, op9_token_files,
+    op10_personal_data)}
 
 SQL = {
     "op5_warc_merkle_fixity": r"""
