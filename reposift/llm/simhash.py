@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reposift.llm.common import staged
 from reposift.llm.components import connected_components, local_roots
+from reposift.llm.similar import similar_copies  # noqa: F401
 
 # The binary Golay code: 23 bits, 4,096 codewords, every word within 3 bits of exactly one of them.
 BLOCK, RADIUS = 23, 3
@@ -244,38 +245,6 @@ def near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFr
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, threshold: int = 2) -> DataFrame:
-    """Near-copy groups of whole texts by estimated similarity: ``doc_id, component_id``, a row per document.
-
-    Documents are compared if one of two SimHashes of their single words lies
-    within ``threshold`` bits, which few edits hardly move, and linked if
-    ``similarity`` or more of the 128 bits of their shingles' SimHashes agree.
-    Equal sets of fingerprints are one node.  Odd rows as in :func:`near_copies`.
-    """
-    names = ["p0", "p1", "c0", "c1"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.empty((batch.num_rows, 4), np.uint64)
-            for row, text in enumerate(batch.column("text")):
-                words = (text.as_py() or b"").lower().split()
-                found[row] = _of_words(words, 1, 42, 2) + _of_words(words, shingle, 42, 2)
-            columns = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    own = staged(own.mapInArrow(run, "doc_id long, p0 long, p1 long, c0 long, c1 long"), "sketches")
-    nodes = own.groupBy(*names).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
-    nodes = staged(nodes, "nodes")
-    differing = int(128 * (1 - similarity) + 1e-9)
-    links = anchor_links(nodes, "node", ["p0", "p1"], ["c0", "c1"], threshold, differing)
-    roots = staged(connected_components(links), "roots")
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = staged(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    named = staged(rooted.join(least, "root").select(*names, "component_id"), "named")
-    return own.join(named, names).select("doc_id", "component_id")
-
-
 def drop_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that are near copies of a document with a smaller doc_id, by ``groups(doc_id, component_id)``.
 
