@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, crosspolytope, fixity, hyperlang, licences, mixing, orderhash, personal, simhash, tokenfiles
+from reposift.llm import bpe, collocations, crosspolytope, fixity, hyperlang, licences, mixing, orderhash, personal, simhash, tokenfiles
 from reposift.llm.common import staged, table
 from reposift.session import work_path
 
@@ -80,10 +80,14 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
                         personal.spans_text(F.col("spans")).alias("spans"))
 
 
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_order_minhash, op2_hyperdimensional_language, op3_crosspolytope_near_vectors, op4_bpe_encode_decode,
     op5_warc_merkle_fixity, op6_fair_queue_mix, op7_simhash_near_copies, op8_license_similarity_join, op9_token_files,
-    op10_personal_data)}
+    op10_personal_data, op13_phrase_collocations)}
 
 SQL = {
     "op5_warc_merkle_fixity": r"""
@@ -145,4 +149,33 @@ SQL = {
         from queued q left join taken t on q.doc_id is not distinct from t.doc_id and q.src = t.src and q.size = t.size
              and q.upto = t.upto and t.inside
         group by q.doc_id, q.size, q.source_size, q.target, q.src, q.upto""",
+    "op13_phrase_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[.,;:!?\x0A-\x0D]')) as piece
+            from documents),
+        cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+        places as (select lang, words, unnest(range(1, len(words) + 1)) as pos from cut where len(words) > 0),
+        counts as (
+            select lang, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') as phrase, count(*) as f
+            from places, range(1, 6) lengths(size) where pos + size - 1 <= len(words) group by all),
+        sizes as (select lang, cast(sum(f) as bigint) as n from counts where size = 1 group by 1),
+        frequent as (select *, string_split(phrase, ' ') as words from counts where f >= 100),
+        inside as (
+            select distinct lang, f, array_to_string(list_slice(words, k + 1, k + size - 1), ' ') as phrase
+            from frequent, range(2) sides(k) where size >= 3),
+        open as (
+            select * from frequent c where size >= 2
+            and not exists (select 1 from inside i where i.lang = c.lang and i.phrase = c.phrase and i.f = c.f)),
+        cuts as (
+            select o.lang, o.phrase, o.f as a, k, l.f as l, r.f as r, n,
+                   (cast(1000 as hugeint) * o.f * n) // (cast(l.f as hugeint) * r.f) as score
+            from open o join range(1, 5) places(k) on k < o.size join sizes z on z.lang = o.lang
+            join frequent l on l.lang = o.lang and l.phrase = array_to_string(list_slice(o.words, 1, k), ' ')
+            join frequent r on r.lang = o.lang and r.phrase = array_to_string(list_slice(o.words, k + 1, o.size), ' ')),
+        lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+        select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n,
+               cast(score as bigint) as score
+        from lowest qualify rank <= 2000""",
 }
