@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, collocations, crosspolytope, fixity, hyperlang, licences, mixing, orderhash, personal, simhash, tokenfiles
+from reposift.llm import bpe, collocations, crosspolytope, fixity, hyperlang, licences, mixing, orderhash, personal, prefixtrie, simhash, tokenfiles
 from reposift.llm.common import staged, table
 from reposift.session import work_path
 
@@ -80,6 +80,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
                         personal.spans_text(F.col("spans")).alias("spans"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"), least=100, longest=5, top=2000)
 
@@ -87,7 +91,7 @@ def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_order_minhash, op2_hyperdimensional_language, op3_crosspolytope_near_vectors, op4_bpe_encode_decode,
     op5_warc_merkle_fixity, op6_fair_queue_mix, op7_simhash_near_copies, op8_license_similarity_join, op9_token_files,
-    op10_personal_data, op13_phrase_collocations)}
+    op10_personal_data, op12_conversation_prefix_trie, op13_phrase_collocations)}
 
 SQL = {
     "op5_warc_merkle_fixity": r"""
@@ -149,6 +153,43 @@ SQL = {
         from queued q left join taken t on q.doc_id is not distinct from t.doc_id and q.src = t.src and q.size = t.size
              and q.upto = t.upto and t.inside
         group by q.doc_id, q.size, q.source_size, q.target, q.src, q.upto""",
+    "op12_conversation_prefix_trie": r"""
+        with turns as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (
+                partition by conv_id order by turn nulls first,
+                sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) as pos
+            from conversations where conv_id is not null),
+        sizes as (
+            select conv_id, conv_id - conv_id % 100 as base, count(*) as own,
+                   xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: ord(c)::bigint)),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                           lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) % 6 as h
+            from turns group by conv_id),
+        convs as (
+            select s.conv_id, s.base, s.h, least(s.h, coalesce(b.own, 0)) as lead, least(s.h, coalesce(b.own, 0)) + greatest(s.own - s.h, 0) as total
+            from sizes s left join sizes b on b.conv_id = s.base),
+        rebuilt as (
+            select c.conv_id, lead + pos - h as depth, role, text from convs c join turns t on t.conv_id = c.conv_id and pos > h
+            union all select c.conv_id, pos, role, text from convs c join turns t on t.conv_id = c.base and pos <= lead),
+        paths as (
+            select conv_id, depth, list({'r': role, 't': text}) over (partition by conv_id order by depth) as key, length(text) as chars from rebuilt
+            union all select conv_id, 0, [], 0 from convs),
+        nodes as (
+            select depth, key, min(p.conv_id) as conv_id, count(*) as n_convs, min(chars) as chars, list_slice(key, 1, depth - 1) as up,
+                   sha256(coalesce(string_agg(cast(p.conv_id as varchar), ',' order by p.conv_id) filter (where total = depth), '')) as ends_sha256
+            from paths p join convs c on c.conv_id = p.conv_id group by depth, key),
+        kids as (
+            select p.depth, p.key, p.conv_id, count(*) as n_children, min(c.depth) from nodes p
+            join nodes c on c.depth = p.depth + 1 and c.up = p.key group by all),
+        marked as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join
+                   (select depth, key, sum(n_children) as n_children from kids group by all) k on k.depth = n.depth and k.key = n.key),
+        below as (
+            select v.depth, v.key, count(*) filter (where u.n_children = 0) as n_leaves, sum((u.n_convs - 1) * u.chars) as saved_tokens
+            from marked v join marked u on u.depth >= v.depth and list_slice(u.key, 1, v.depth) = v.key group by all)
+        select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, cast(n.n_children as bigint) as n_children, n_leaves,
+               cast(saved_tokens as bigint) as saved_tokens, n.ends_sha256
+        from marked n join below b on b.depth = n.depth and b.key = n.key
+        left join nodes p on p.depth = n.depth - 1 and p.key = n.up""",
     "op13_phrase_collocations": r"""
         with pieces as (
             select coalesce(lang, 'und') as lang,
