@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm import bpe, collocations, crosspolytope, fixity, hyperlang, licences, mixing, orderhash, personal, prefixtrie, simhash, tokenfiles
+from reposift.llm import bpe, collocations, crosspolytope, fixity, hyperlang, licences, maintext, mixing, orderhash, personal, prefixtrie, simhash, tokenfiles
 from reposift.llm.common import staged, table
 from reposift.session import work_path
 
@@ -80,6 +80,10 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
                         personal.spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_crf_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return maintext.extract_main_text(table(spark, folder, "pages"), keep=("page_id", "url"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, folder, "conversations"))
 
@@ -91,7 +95,7 @@ def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_order_minhash, op2_hyperdimensional_language, op3_crosspolytope_near_vectors, op4_bpe_encode_decode,
     op5_warc_merkle_fixity, op6_fair_queue_mix, op7_simhash_near_copies, op8_license_similarity_join, op9_token_files,
-    op10_personal_data, op12_conversation_prefix_trie, op13_phrase_collocations)}
+    op10_personal_data, op11_crf_main_text, op12_conversation_prefix_trie, op13_phrase_collocations)}
 
 SQL = {
     "op5_warc_merkle_fixity": r"""
