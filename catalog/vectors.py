@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import view, with_views
 from catalog.text import clean_sql, trim_sql
+from reposift.operators import lsh
 from reposift.operators import neighbours as N
 from reposift.operators import validation as V
 from reposift.operators.embedding import embed_issues
@@ -55,15 +56,19 @@ def knn_rank(spark, folder):
         "repo_name", "query_number", "match_number", "rnk")
 
 
+TABLES, HASHES, WIDTH = 16, 3, 0.25  # the given vectors are nearly orthogonal: fewer tables find less than 0.9 of the matches
+
+
 def ann_join(spark, folder):
+    """Hash tables over random projections."""
     vectors = _vectors(spark, folder)
-    return _scores(N.ann_join(vectors, vectors, 3, n_clusters=16, n_probe=4, exclude_self=True))
+    return _scores(lsh.ann_join(vectors, vectors, 3, tables=TABLES, hashes=HASHES, width=WIDTH, exclude_self=True))
 
 
 def ann_join_full_probe(spark, folder):
     """All clusters probed: the same as the exact search."""
     vectors = _vectors(spark, folder)
-    return _scores(N.ann_join(vectors, vectors, 3, n_clusters=8, n_probe=8, exclude_self=True, min_similarity=0.3))
+    return _scores(N.probe_join(vectors, vectors, 3, n_clusters=8, n_probe=8, exclude_self=True, min_similarity=0.3))
 
 
 def repo_filter(spark, folder):
@@ -260,7 +265,7 @@ def param_checks(spark, folder):
     """Bad parameters are refused while the plan is built, before any row is read."""
     vectors, refused = _vectors(spark, folder), 0
     for attempt in (lambda: N.knn_topk(vectors, vectors, 0), lambda: T.of_repo(vectors, " "),
-                    lambda: N.duplicate_decision(vectors, vectors, 1.5), lambda: N.ann_join(vectors, vectors, -1, n_clusters=4, n_probe=1)):
+                    lambda: N.duplicate_decision(vectors, vectors, 1.5), lambda: lsh.ann_join(vectors, vectors, -1, tables=4, hashes=1, width=1.0)):
         try:
             attempt()
         except ValueError:
@@ -339,6 +344,23 @@ SQL = {
     "non_empty_text": """select conv_id, turn, case when role = 'assistant' then 'text: blank' else '' end as reason from conversations""",
     "knn_topk": with_views("vectors", _near("true", 3) + f" select {_KNN_COLUMNS} from r"),
     "knn_rank": with_views("vectors", _near(_OTHER, 10) + " select repo_name, query_number, match_number, rnk from r"),
+    "ann_join": with_views("vectors", f"""+x as (
+            select repo_name, issue_number, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i, len(embedding) as dimension from vectors),
+        norms as (select repo_name, issue_number, sqrt(sum(cast(x as double) * x)) as norm from x group by all),
+        draws as (select t, j, i, case when substring(md5(concat(t, '|', j, '|', i)), 1, 1) < '8' then 1 else -1 end as sign,
+                         cast(('0x' || substring(md5(concat(t, '|', j)), 1, 8)) as bigint) / cast(4294967296 as double) as begun
+                  from range({TABLES}) tables(t), range({HASHES}) hashes(j), (select distinct i from x)),
+        steps as (select repo_name, issue_number, t, j, cast(floor(sum(x / norm * sign) / sqrt(any_value(dimension)) / {WIDTH}
+                         + any_value(begun)) as bigint) as step
+                  from x join norms using (repo_name, issue_number) join draws using (i) group by all),
+        buckets as (select repo_name, issue_number, t, string_agg(step, ',' order by j) as bucket from steps group by all),
+        met as (select distinct a.repo_name, a.issue_number as query_number, b.issue_number as match_number
+                from buckets a join buckets b using (repo_name, t, bucket) where a.issue_number <> b.issue_number),
+        n as (select m.*, v.title, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 9) as sim
+              from met m join vectors q on q.repo_name = m.repo_name and q.issue_number = m.query_number
+              join vectors v on v.repo_name = m.repo_name and v.issue_number = m.match_number),
+        r as (select *, row_number() over (partition by repo_name, query_number order by sim desc, match_number) as rnk from n qualify rnk <= 3)
+        select {_KNN_COLUMNS} from r"""),
     "ann_join_full_probe": with_views("vectors", _near(_OTHER, 3) + f" select {_KNN_COLUMNS} from r where sim >= 0.3"),
     "repo_filter": with_views("vectors", "select repo_name, issue_number from vectors where repo_name = 'repo1'"),
     "similarity_threshold": with_views("vectors", _near(_OTHER, 3) + f" select repo_name, query_number, match_number from r where sim >= {THRESHOLD}"),

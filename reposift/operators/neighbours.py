@@ -349,7 +349,7 @@ def _assign(asked: DataFrame | None, known: DataFrame, pivots, block_rows: int):
     return blocks, _with_sub_block(homes, _cluster_stats(homes, block_rows), "query_number"), stats
 
 
-def ann_join(
+def probe_join(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = defaults.KNN_LIMIT,
@@ -360,7 +360,7 @@ def ann_join(
     min_similarity: float | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate :func:`knn_topk`: only the repository's ``n_probe`` clusters nearest to the query are searched.
+    """Approximate :func:`knn_topk` by probing clusters: only the repository's ``n_probe`` clusters nearest to the query are searched.
 
     The caller states clusters and probes; the plan is the same at every size.
     The matches are a part of all pairs and their scores are exact; raising

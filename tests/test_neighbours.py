@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from reposift.operators import lsh
 from reposift.operators import neighbours as N
 
 SCHEMA = "repo_name string, issue_number long, title string, embedding array<float>"
@@ -67,18 +68,18 @@ def test_more_matches_contain_fewer(table):
 
 
 def test_approximate_is_part_of_all_pairs(table, rows):
-    near = N.ann_join(table, table, 5, n_clusters=8, n_probe=2, exclude_self=True, block_rows=20)
+    near = N.probe_join(table, table, 5, n_clusters=8, n_probe=2, exclude_self=True, block_rows=20)
     exact = {(r.repo_name, r.query_number, r.match_number): r.similarity_score
              for r in N.knn_topk(table, table, 240, exclude_self=True).collect()}
     for r in near.collect():
         assert exact[r.repo_name, r.query_number, r.match_number] == pytest.approx(r.similarity_score, abs=1e-9)
-    full = N.ann_join(table, table, 4, n_clusters=8, n_probe=8, exclude_self=True, block_rows=20)
+    full = N.probe_join(table, table, 4, n_clusters=8, n_probe=8, exclude_self=True, block_rows=20)
     assert found(full) == brute(rows, 4, exclude_self=True)
 
 
 def test_recall_on_clustered_vectors(table):
     exact = N.knn_topk(table, table, 3, exclude_self=True)
-    row = N.recall(N.ann_join(table, table, 3, n_clusters=8, n_probe=4, exclude_self=True), exact).first()
+    row = N.recall(N.probe_join(table, table, 3, n_clusters=8, n_probe=4, exclude_self=True), exact).first()
     assert row.expected == exact.count() and row.recall > 0.8
 
 
@@ -89,7 +90,7 @@ def test_small_repositories_get_all_their_matches(spark):
     sizes = {"large": 600, **{f"r{i}": i % 5 + 1 for i in range(30)}}
     rows = [(repo, n, "t", [draw.gauss(0, 1) for _ in range(8)]) for repo, size in sizes.items() for n in range(size)]
     table = spark.createDataFrame(rows, SCHEMA)
-    got = N.ann_join(table, table, 3, n_clusters=40, n_probe=1, exclude_self=True).groupBy("repo_name", "query_number").count().collect()
+    got = N.probe_join(table, table, 3, n_clusters=40, n_probe=1, exclude_self=True).groupBy("repo_name", "query_number").count().collect()
     counts = {(r.repo_name, r.query_number): r["count"] for r in got}
     assert all(counts.get((repo, n), 0) == min(3, sizes[repo] - 1) for repo, n, _, _ in rows)
 
@@ -104,6 +105,35 @@ def test_decision(spark):
 
 def test_parameters(table):
     for bad in (lambda: N.knn_topk(table, table, 0), lambda: N.duplicate_decision(table, table, 1.01),
-                lambda: N.ann_join(table, table, n_clusters=4, n_probe=0)):
+                lambda: N.probe_join(table, table, n_clusters=4, n_probe=0)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_hash_tables_find_nine_of_ten_matches_of_the_given_vectors(spark):
+    """The registered query at both sizes; its vectors are nearly orthogonal, so most pairs meet in some table."""
+    from catalog import vectors as V
+
+    for size in ("0.01", "0.1"):
+        folder = f"/root/testdata/sf{size}"
+        vectors = V._vectors(spark, folder)
+        row = N.recall(V.ann_join(spark, folder), N.knn_topk(vectors, vectors, 3, exclude_self=True)).first()
+        assert row.expected == 3 * vectors.count() and row.recall >= 0.9
+
+
+def test_hash_tables_on_clustered_vectors(table, rows):
+    """Few comparisons there: most matches are found though only one pair in a few shares a bucket."""
+    found_by = lsh.ann_join(table, table, 3, tables=8, hashes=4, width=0.8, exclude_self=True, block_rows=20)
+    exact = {(r.repo_name, r.query_number, r.match_number): r.similarity_score for r in N.knn_topk(table, table, 240, exclude_self=True).collect()}
+    for r in found_by.collect():
+        assert exact[r.repo_name, r.query_number, r.match_number] == pytest.approx(r.similarity_score, abs=1e-9)
+    assert N.recall(found_by, N.knn_topk(table, table, 3, exclude_self=True)).first().recall >= 0.9
+    wide = lsh.ann_join(table, table, 4, tables=1, hashes=1, width=1e9, exclude_self=True, block_rows=20)
+    assert found(wide) == brute(rows, 4, exclude_self=True)
+
+
+def test_a_hot_bucket_is_many_blocks(spark):
+    rows = [("r", n, "t", [1.0, float(n % 3)]) for n in range(200)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = lsh.ann_join(table, table, 2, tables=2, hashes=1, width=50.0, exclude_self=True, block_rows=16)
+    assert found(got) == brute(rows, 2, exclude_self=True)

@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_registry():
     own = {name for name in QUERIES if not (name.startswith("op") and name[2].isdigit()) and name != "pipeline"}
-    assert set(SQL) <= set(QUERIES) and own - set(SQL) == {"ann_join"}
+    assert set(SQL) <= set(QUERIES) and own == set(SQL) - {name for name in SQL if name not in own}
 
 
 def test_entry(spark):
