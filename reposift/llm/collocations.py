@@ -69,7 +69,9 @@ def _reach(fit: np.ndarray, same: np.ndarray, shortest: int, longest: int) -> np
 
 
 def _counted(shortest: int, longest: int, gate: np.ndarray | None):
-    """Arrow function: sorted runs of the phrases of ``shortest`` to ``longest`` words whose parts pass the gate."""
+    """Arrow function: sorted runs of the phrases of ``shortest`` to ``longest`` words whose words and parts of ``shortest`` - 1 words pass the gate."""
+
+    frequent = None if gate is None else lambda hashes: _open(gate, _places([hashes]))
 
     def rows(words: Words, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         langs, texts = batch.column("lang").dictionary_encode(), batch.column("text")
@@ -93,19 +95,17 @@ def _counted(shortest: int, longest: int, gate: np.ndarray | None):
             found = np.empty(len(pairs), np.int32)
             for k in np.unique(pairs // n).tolist():
                 some = np.flatnonzero(pairs // n == k)
-                found[some] = words.ids(names[k], own.take(pa.array(pairs[some] % n)).to_pylist())
+                found[some] = words.ids(names[k], own.take(pa.array(pairs[some] % n)).to_pylist(), frequent)
             ids = found[met.indices.to_numpy()]
             if longest == 1:
                 yield ids[:, None]
                 continue
             same = np.r_[goes_on[1:], False]
-            hashes = np.frombuffer(words.hashes, np.uint64)[ids]
-            if shortest == 2:
-                fit = _open(gate, _places([hashes]))
-            else:
-                fit = same & _open(gate, _places([hashes, np.roll(hashes, -1)]))
+            fit = ids != NONE
+            if shortest > 2:
+                hashes = np.r_[np.frombuffer(words.hashes, np.uint64), np.uint64(0)][ids]
+                fit &= same & _open(gate, _places([hashes, np.roll(hashes, -1)]))
             reach = _reach(fit, same, shortest, longest)
-            del hashes  # the array of all hashes can't grow while it is lent
             begin = np.flatnonzero(reach)
             path = np.full((len(begin), longest), NONE, np.int32)
             for k in range(longest):
@@ -120,7 +120,7 @@ def _counted(shortest: int, longest: int, gate: np.ndarray | None):
                 trie.add(some)
                 if len(words) > MOST_WORDS:
                     yield from sorted_run(*trie.take(), words, shortest)
-                    words = Words()
+                    words.clear()
                 while trie.entries > MOST_ENTRIES and trie.settle() > MOST_ENTRIES:
                     yield from sorted_run(*trie.take(0.5), words, shortest)
         yield from sorted_run(*trie.take(), words, shortest)
@@ -184,14 +184,10 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
 
     words = staged(merged(1, 1, None), "words")
     sizes = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
-    frequent = words.where(F.col("f") >= least)
-    levels = [frequent]
+    found = words.where(F.col("f") >= least)
     for shortest, upto in ((2, min(2, longest)), (3, longest)):
         if shortest <= upto:
-            levels.append(staged(merged(shortest, upto, _gate(levels[-1])).where(F.col("f") >= least), "phrases"))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
+            found = found.unionByName(staged(merged(shortest, upto, _gate(found)).where(F.col("f") >= least), "phrases"))
     return sizes, found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
 
 

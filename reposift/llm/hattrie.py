@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import xxhash
 #: A container of more entries bursts.
 BURST = 16_384
 #: Entries of the whole trie, and known words, beyond which subtrees are spilled.
-MOST_ENTRIES, MOST_WORDS = 1_000_000, 1_000_000
+MOST_ENTRIES, MOST_WORDS = 1_500_000, 400_000
 #: The trie branches by the bytes of the first word's id, lowest first; so many levels at most.
 LEVELS = 3
 NONE = -1
@@ -23,6 +23,9 @@ class Words:
     """Ids of (language, word) pairs in order of appearance, with a 64-bit hash each."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.by_lang: dict[str, dict[bytes, int]] = {}
         self.langs: list[str] = []
         self.words: list[bytes] = []
@@ -31,19 +34,24 @@ class Words:
     def __len__(self) -> int:
         return len(self.words)
 
-    def ids(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Ids of different words of one language."""
+    def ids(self, lang: str, words: list[bytes], fit: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """Ids of different words of one language; new ones whose hash isn't ``fit`` stay unknown and are NONE."""
         known = self.by_lang.setdefault(lang, {})
-        found = list(map(known.get, words))
-        if None in found:
+        found = np.array([known.get(w, NONE) for w in words], np.int32)
+        new = np.flatnonzero(found == NONE)
+        if len(new):
             seed = xxhash.xxh64_intdigest(lang)
-            for at, word in enumerate(words):
-                if found[at] is None:
-                    found[at] = known[word] = len(self.words)
-                    self.words.append(word)
-                    self.langs.append(lang)
-                    self.hashes.append(xxhash.xxh64_intdigest(word, seed))
-        return np.array(found, np.int32)
+            hashes = np.array([xxhash.xxh64_intdigest(words[i], seed) for i in new.tolist()], np.uint64)
+            if fit is not None:
+                good = fit(hashes)
+                new, hashes = new[good], hashes[good]
+            found[new] = np.arange(len(self), len(self) + len(new), dtype=np.int32)
+            fresh = [words[i] for i in new.tolist()]
+            known.update(zip(fresh, range(len(self), len(self) + len(new))))
+            self.words += fresh
+            self.langs += [lang] * len(new)
+            self.hashes.frombytes(hashes.tobytes())
+        return found
 
 
 class _Node:

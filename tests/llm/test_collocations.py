@@ -56,7 +56,7 @@ def test_against_plain_counting(spark):
     assert sorted(tuple(r) for r in got.collect()) == plain(rows, 6, 4, 40)
 
 
-@pytest.mark.parametrize("limits", [{}, {"BURST": 5, "MOST_WORDS": 9, "MOST_ENTRIES": 30}, {"SLICE_BYTES": 50}])
+@pytest.mark.parametrize("limits", [{}, {"BURST": 5, "MOST_WORDS": 9, "MOST_ENTRIES": 30}, {"SLICE_BYTES": 50, "MOST_WORDS": 4}])
 def test_runs_of_a_task_with_small_limits(monkeypatch, limits):
     for name, value in limits.items():
         for module in (C, H):
