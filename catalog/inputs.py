@@ -92,17 +92,34 @@ VIEWS = {
 }
 
 # All issues, paired with those of the same repository and block of numbers.
+_BLOCK_SQL = """
+    block_pairs as (select a.repo_name as repo, a.issue_number as issue_1_number, b.issue_number as issue_2_number
+                    from issues a join issues b on a.repo_name = b.repo_name and a.issue_number // 200 = b.issue_number // 200
+                         and a.issue_number > b.issue_number)"""
+
+# All pairs of a repository with a TF-IDF cosine of 0.4 or more, by comparing every word of every issue.
 _PAIR_SQL = """
-    pairs as (select a.repo_name as repo, a.issue_number as issue_1_number, b.issue_number as issue_2_number,
-                     concat(a.title, chr(10), regexp_replace(coalesce(a.body, ''), '^[WS]+|[WS]+$', '', 'g')) as issue_1_text,
-                     concat(b.title, chr(10), regexp_replace(coalesce(b.body, ''), '^[WS]+|[WS]+$', '', 'g')) as issue_2_text
-              from issues a join issues b on a.repo_name = b.repo_name and a.issue_number // 200 = b.issue_number // 200
-                   and a.issue_number > b.issue_number)"""
+    texts as materialized (
+        select repo_name as repo, issue_number, concat(title, chr(10), regexp_replace(coalesce(body, ''), '^[WS]+|[WS]+$', '', 'g')) as issue_text from issues),
+    terms as materialized (
+        select repo, issue_number, word, count(*) as tf from (
+            select repo, issue_number, unnest(regexp_extract_all(lower(issue_text), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+')) as word from texts)
+        group by all),
+    raw as (select t.repo, t.issue_number, t.word, tf * ln(((select count(*) from texts) + 1) / cast(df + 1 as double)) as w
+            from terms t join (select word, count(*) as df from terms group by 1) f on f.word = t.word),
+    lengths as (select repo, issue_number, sqrt(sum(w * w)) as length from raw group by all),
+    comps as materialized (select r.repo, r.issue_number, word, w / length as w from raw r join lengths l on l.repo = r.repo and l.issue_number = r.issue_number where w > 0),
+    alike as (select a.repo, a.issue_number as n1, b.issue_number as n2, round(sum(a.w * b.w), 9) as cosine_similarity
+              from comps a join comps b on a.repo = b.repo and a.word = b.word and a.issue_number > b.issue_number group by all having cosine_similarity >= 0.4),
+    pairs as materialized (
+        select p.repo, n1 as issue_1_number, n2 as issue_2_number, a.issue_text as issue_1_text, b.issue_text as issue_2_text, cosine_similarity
+        from alike p join texts a on a.repo = p.repo and a.issue_number = n1 join texts b on b.repo = p.repo and b.issue_number = n2)"""
 
 # Unicode white space, spelled out because RE2 knows only the ASCII part
 WS = r"\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 EXTRA_SQL = {
+    "block_pairs": ("issues", _BLOCK_SQL.strip()),
     "pairs": ("issues", _PAIR_SQL.replace("WS", WS).strip().replace("{", "{{").replace("}", "}}")),
     # every vector with its ten best matches; the shift spreads the scores over the thresholds in use
     "matches": ("vectors", """matches as materialized (

@@ -28,12 +28,13 @@ def _dump(spark, folder, path=None):
     return path
 
 
-BLOCK = 200  # issue numbers whose issues are paired within a repository
+BLOCK = 200  # numbers of a block of the query on blocks of issue numbers
 NEWEST, CAP = 30, 7  # limits of the two queries whose feature is a limit
 
 
 def _pairs(spark, folder, with_text=True):
-    return P.block_pairs(view(spark, folder, "issues"), BLOCK, with_text)
+    """Alike issues of a repository, wherever their numbers lie."""
+    return P.similar_pairs(view(spark, folder, "issues"), with_text=with_text)
 
 
 def scored(spark, folder):
@@ -86,7 +87,7 @@ def scan_multi_repo(spark, folder):
 
 
 def scan_pairs_csv(spark, folder):
-    path = S.write_pairs(_pairs(spark, folder), work_path(spark, "pairs-csv"), "csv")
+    path = S.write_pairs(_pairs(spark, folder).drop("cosine_similarity"), work_path(spark, "pairs-csv"), "csv")
     back = SP.read_pairs_csv(spark, path)
     return back.select(*KEY, F.md5(F.concat_ws("|", "issue_1_text", "issue_2_text")).alias("texts"),
                        F.coalesce("is_duplicate", F.lit("")).alias("is_duplicate"))
@@ -109,7 +110,12 @@ def repo_pairs(spark, folder):
 
 
 def block_pairs(spark, folder):
-    return _pairs(spark, folder, with_text=False)
+    """All pairs of issues with near numbers, alike or not."""
+    return P.block_pairs(view(spark, folder, "issues"), BLOCK, with_text=False)
+
+
+def block_counts(spark, folder):
+    return P.pair_counts(view(spark, folder, "issues"), BLOCK)
 
 
 def unique_issues(spark, folder):
@@ -157,8 +163,8 @@ def pair_cosine(spark, folder):
 
 
 def scored_pair_corpus(spark, folder):
-    """The whole chain: embed each issue once, pair, look up, score."""
-    met = P.score_pairs(_pairs(spark, folder, with_text=False), _pair_vectors(spark, folder))
+    """Every pair of alike issues of a repository, with its score."""
+    met = _pairs(spark, folder, with_text=False)
     return met.select(*KEY, F.round("cosine_similarity", 6).alias("cosine_similarity"))
 
 
@@ -176,12 +182,12 @@ def already_labelled(spark, folder):
 
 
 def counts(spark, folder):
-    return P.pair_counts(view(spark, folder, "issues"), BLOCK)
+    return P.similar_counts(view(spark, folder, "issues"), _pairs(spark, folder, with_text=False))
 
 
 def coerce_pair_types(spark, folder):
     raw = _pairs(spark, folder).withColumn(
-        "cosine_similarity", F.when(F.col("issue_1_number") - F.col("issue_2_number") == 3, F.lit("?")).otherwise(F.lit("0.5")))
+        "cosine_similarity", F.when((F.col("issue_1_number") + F.col("issue_2_number")) % 7 == 3, F.lit("?")).otherwise(F.lit("0.5")))
     typed, bad = P.coerce_pair_types(raw)
     kept = typed.select(*KEY, F.md5(F.concat_ws("|", "issue_1_text", "issue_2_text")).alias("texts"), "cosine_similarity")
     return kept.unionByName(bad.select(*KEY, F.lit("bad").alias("texts"), F.lit(None).cast("double").alias("cosine_similarity")))
@@ -374,7 +380,7 @@ def fail_fast(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_issues, issues_per_repo_cap, scan_multi_repo, scan_pairs_csv, scan_progress, repo_pairs, block_pairs, unique_issues,
+    scan_issues, issues_per_repo_cap, scan_multi_repo, scan_pairs_csv, scan_progress, repo_pairs, block_pairs, block_counts, unique_issues,
     issue_table, pair_embeddings, missing_vectors, pair_cosine, scored_pair_corpus, merge_progress, resume_antijoin, already_labelled,
     counts, coerce_pair_types, write_pairs, write_scored_pairs, write_labelled_pairs, write_with_fallback, llm_gate,
     second_check_needed, classify_pairs, cascade, branch_union, review_rows, label_to_int, label_checkpoints,
@@ -400,6 +406,7 @@ _FIRST = """judged as (select *, cosine_similarity >= 0.6 as dup1, ((issue_1_num
 _BAD = "(issue_1_number + issue_2_number) % 97 = 0"
 _LABEL = "case when not asked then 0 when again then dup2::int else dup1::int end"
 _CONF = "case when not asked then cast(1 as double) when again then conf2 else conf1 end"
+_SUM = "(issue_1_number + issue_2_number)"
 _TEXTS = "md5(issue_1_text || '|' || issue_2_text)"
 
 SQL = {
@@ -415,7 +422,10 @@ SQL = {
         select * from issues qualify row_number() over (partition by repo_name order by issue_number desc) <= 30)
         select a.repo_name as repo, a.issue_number as issue_1_number, b.issue_number as issue_2_number, '' as is_duplicate
         from capped a join capped b on a.repo_name = b.repo_name and a.issue_number > b.issue_number"""),
-    "block_pairs": with_views("pairs", f"select {_K}, '' as is_duplicate from pairs"),
+    "block_pairs": with_views("block_pairs", f"select {_K}, '' as is_duplicate from block_pairs"),
+    "block_counts": with_views("block_pairs", """
+        select i.repo_name, i.issues, count(p.repo) as pairs
+        from (select repo_name, count(*) as issues from issues group by 1) i left join block_pairs p on p.repo = i.repo_name group by all"""),
     "unique_issues": with_views("pairs", """+s as (
         select repo, issue_1_number as issue_number, 1 as side, issue_1_number as a, issue_2_number as b,
                issue_1_number || '/' || issue_2_number as issue_text from pairs
@@ -435,26 +445,21 @@ SQL = {
     "pair_cosine": with_views("scored_pairs", f"""select s.repo, s.issue_1_number, s.issue_2_number,
         round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 9) as cosine_similarity
         from scored_pairs s join vectors a on a.issue_number = s.issue_1_number join vectors b on b.issue_number = s.issue_2_number"""),
-    "scored_pair_corpus": with_views("pairs", f"""+{_ISSUE_TABLE}, {_HASHED.strip()}
-        select p.repo, p.issue_1_number, p.issue_2_number, round(coalesce(sum(a.x * b.x), 0), 6) + 0.0 as cosine_similarity
-        from pairs p left join units a on a.repo = p.repo and a.issue_number = p.issue_1_number
-        left join units b on b.repo = p.repo and b.issue_number = p.issue_2_number and a.at = b.at group by all"""),
-    "merge_progress": with_views("progress", """
-        select s.repo, s.issue_1_number, s.issue_2_number,
-               coalesce(p.is_duplicate, case when s.cosine_similarity > 0.6 then 'x' end) as is_duplicate, p.final_confidence
-        from scored_pairs s left join progress p on p.repo = s.repo and p.issue_1_number = s.issue_1_number
-             and p.issue_2_number = s.issue_2_number and trim(p.is_duplicate) <> ''"""),
-    "resume_antijoin": with_views("progress", f"""
-        select {_K} from scored_pairs s where not exists (select 1 from progress p where p.repo = s.repo
-          and p.issue_1_number = s.issue_1_number and p.issue_2_number = s.issue_2_number and trim(p.is_duplicate) <> '')"""),
+    "scored_pair_corpus": with_views("pairs", f"select {_K}, round(cosine_similarity, 6) as cosine_similarity from pairs"),
+    "merge_progress": with_views("scored_pairs", f"""
+        select {_K}, case when true_label = 1 and {_SUM} % 3 < 2 then cast(1 - {_SUM} % 3 as varchar)
+                          when cosine_similarity > 0.6 then 'x' end as is_duplicate,
+               case when true_label = 1 and {_SUM} % 3 < 2 then ((issue_1_number * 13) % 100) / cast(100 as double) end as final_confidence
+        from scored_pairs"""),
+    "resume_antijoin": with_views("scored_pairs", f"select {_K} from scored_pairs where not (true_label = 1 and {_SUM} % 3 < 2)"),
     "already_labelled": with_views("progress", f"select {_K} from progress where trim(is_duplicate) <> ''"),
     "counts": with_views("pairs", """
         select i.repo_name, i.issues, count(p.repo) as pairs
         from (select repo_name, count(*) as issues from issues group by 1) i left join pairs p on p.repo = i.repo_name group by all"""),
     "coerce_pair_types": with_views("pairs", f"""+n as (
         select {_K}, {normalize_sql('issue_1_text')} as t1, {normalize_sql('issue_2_text')} as t2 from pairs)
-        select {_K}, case when issue_1_number - issue_2_number = 3 then 'bad' else md5(t1 || '|' || t2) end as texts,
-               case when issue_1_number - issue_2_number = 3 then null else cast(0.5 as double) end as cosine_similarity from n"""),
+        select {_K}, case when (issue_1_number + issue_2_number) % 7 = 3 then 'bad' else md5(t1 || '|' || t2) end as texts,
+               case when (issue_1_number + issue_2_number) % 7 = 3 then null else cast(0.5 as double) end as cosine_similarity from n"""),
     "write_pairs": with_views("pairs", f"select {_K}, length(issue_1_text) as chars_1, '' as is_duplicate from pairs"),
     "write_scored_pairs": with_views("scored_pairs", f"select {_K}, cosine_similarity from scored_pairs"),
     "write_labelled_pairs": with_views("pairs", f"""select {_K}, md5('''=' || issue_1_text) as text_1, '0.25' as final_confidence,

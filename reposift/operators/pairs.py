@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reposift import defaults
 from reposift.functions.text import clip_issue_text, combine_text, issue_key, normalize_text
 from reposift.functions.vectors import dot
+from reposift.operators.similarity_join import similar_texts
 from reposift.operators.validation import require_positive
 from reposift.sources.issues import cap_per_repo
 from reposift.sources.pairs import PAIR_KEY
@@ -43,6 +45,25 @@ def block_pairs(issues: DataFrame, width: int, with_text: bool = True) -> DataFr
     return _meet(issues, {"repo": F.col("repo_name"), "block": block}, with_text)
 
 
+def similar_pairs(issues: DataFrame, least: float = defaults.CLASSIFY_MIN_COSINE, with_text: bool = True) -> DataFrame:
+    """Every pair of a repository's issues whose TF-IDF cosine is ``least`` or more, the newer one first, wherever their numbers lie.
+
+    Pairs below ``least`` are never labelled by a classifier and aren't laid
+    out.  The words of title and body count, as often as they occur.  With
+    ``with_text`` the texts are attached to the pairs found.
+    """
+    texts = issues.select(F.col("repo_name").alias("repo"), "issue_number", combine_text(F.col("title"), F.col("body")).alias("issue_text"))
+    found = similar_texts(texts, "repo", "issue_number", "issue_text", least)
+    pairs = found.select("repo", F.col("number_1").alias("issue_1_number"), F.col("number_2").alias("issue_2_number"),
+                         F.col("cosine").alias("cosine_similarity"), F.lit("").alias("is_duplicate"))
+    if not with_text:
+        return pairs
+    for n in (1, 2):
+        own = texts.withColumnsRenamed({"issue_number": f"issue_{n}_number", "issue_text": f"issue_{n}_text"})
+        pairs = pairs.join(own, ["repo", f"issue_{n}_number"])
+    return pairs.select("repo", "issue_1_number", "issue_1_text", "issue_2_number", "issue_2_text", "cosine_similarity", "is_duplicate")
+
+
 def unpivot_pairs(pairs: DataFrame) -> DataFrame:
     """Both sides of every pair as rows, in one pass over the pairs."""
     sides = F.array(*[
@@ -159,6 +180,12 @@ def coerce_pair_types(table: DataFrame, max_chars: int | None = None) -> tuple[D
     return typed.drop("_bad"), judged.filter("_bad").drop("_bad")
 
 
+def similar_counts(issues: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Issues and given pairs per repository; repositories without a pair have 0."""
+    found = pairs.groupBy(F.col("repo").alias("repo_name")).agg(F.count(F.lit(1)).alias("pairs"))
+    return issues.groupBy("repo_name").agg(F.count(F.lit(1)).alias("issues")).join(found, "repo_name", "left").fillna(0, ["pairs"])
+
+
 def pair_counts(issues: DataFrame, width: int) -> DataFrame:
     """Issues and pairs of :func:`block_pairs` per repository, without making the pairs."""
     blocks = issues.groupBy("repo_name", F.floor(F.col("issue_number") / width).alias("block")).agg(F.count(F.lit(1)).alias("n"))
