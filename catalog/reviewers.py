@@ -10,6 +10,8 @@ from catalog.inputs import view, with_views
 from reposift.functions import history
 from reposift.operators import reviewers as R
 from reposift.plans.reviewing import review_pull_requests
+from reposift.session import cut_lineage, work_path
+from reposift.sinks import ownership_table as O
 from reposift.sources import commits as commit_source
 
 AS_OF = datetime(2002, 1, 1)
@@ -105,12 +107,16 @@ def round_score(spark, folder):
 
 
 def history_append_overwrite(spark, folder):
-    """History up to 1998 replaced by the later one in repository R, added to elsewhere."""
+    """A table that holds the history up to 1998; later, repository R is replaced and the others are added to, each twice."""
     commits = view(spark, folder, "commits")
     early = R.file_ownership(commits.filter("date < timestamp_ntz'1998-01-01'"), AS_OF)
-    late = R.file_ownership(commits.filter("date >= timestamp_ntz'1998-01-01'"), AS_OF)
-    replaced = R.replace_history(early, late.filter("repo_name = 'R'"))
-    return _round(R.add_history(replaced, late.filter("repo_name <> 'R'")), "score")
+    late = cut_lineage(R.file_ownership(commits.filter("date >= timestamp_ntz'1998-01-01'"), AS_OF))
+    path = work_path(spark, "ownership")
+    O.append(early, path, "early")
+    for _ in range(2):
+        O.replace(late.filter("repo_name = 'R'"), path, "renewed")
+        O.append(late.filter("repo_name <> 'R'"), path, "late")
+    return _round(O.owners(spark, path), "score")
 
 
 def empty_input(spark, folder):
