@@ -89,7 +89,8 @@ def _cut(copies: DataFrame, budget: float):
 
 
 def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix"
+    docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """How often the mix takes each document: ``doc_id, source, size, source_size, target, times``, a row per document.
 
@@ -103,18 +104,18 @@ def mix_sources(
     Null or empty texts have size 0 and are taken 0 times.  Null is a source of
     its own, last in order.  Rows of one doc_id go by size, repeated rows are
     documents of their own; a null doc_id is a value like others.  An empty
-    table gives no row.  Other columns are ignored.
+    table gives no row.  Of other columns only ``keep`` are carried along.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     src = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), src.alias("src"), size.alias("size"), key.alias("key"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), src.alias("src"), size.alias("size"), key.alias("key"), *keep)
     own = staged(own, "sizes")
     totals = own.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = staged(source_targets(totals.select("src", "source_size"), weights, share, most), "targets")
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     queued = _running_sizes(own.withColumn("place", place), own.count()).join(targets, "src")
-    queued = staged(queued.select("doc_id", "source", "key", "size", "source_size", "target", "upto"), "queued")
+    queued = staged(queued.select("doc_id", "source", "key", "size", "source_size", "target", "upto", *keep), "queued")
     time = lambda turn: (F.col("upto") + F.lit(turn) * F.col("source_size")).cast("double") / F.col("target")
     turns = F.explode(F.array(*[time(i) for i in range(most)]))
     copies = queued.where("size > 0").select("key", "doc_id", "size", turns.alias("time"))
@@ -126,4 +127,4 @@ def mix_sources(
         end = F.struct(F.lit(last["time"]), F.lit(last["key"]), F.lit(last["doc_id"]).cast("long"), F.lit(last["size"]).cast("long"))
         taken = [(F.struct(time(i), F.col("key"), F.col("doc_id"), F.col("size")) < end).cast("int") for i in range(most)]
         times = sum(taken[1:], taken[0])
-    return queued.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, times).otherwise(0).alias("times"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, times).otherwise(0).alias("times"), *keep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate, combinations
 
@@ -12,9 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import staged
+from reposift.llm.common import ROW_KEY, one_per_key, row_key, staged
 from reposift.llm.components import connected_components, local_roots
-from reposift.llm.similar import similar_copies  # noqa: F401
 
 # The binary Golay code: 23 bits, 4,096 codewords, every word within 3 bits of exactly one of them.
 BLOCK, RADIUS = 23, 3
@@ -60,16 +59,16 @@ def text_fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> in
     return _of_words((text or b"").lower().split(), shingle, seed, 1)[0]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint's bits as a signed long.  A null text counts as empty, with fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, fp`` and the long columns ``keep``: the fingerprint's bits as a signed long.  A null text counts as empty, with fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column("text")], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column("_text")], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64()), *map(batch.column, keep)], ["doc_id", "fp", *keep])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"), *keep)
+    return own.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in keep]]))
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -224,6 +223,13 @@ def fingerprint_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     return anchor_links(distinct, "fp", ["fp"], ["fp"], threshold, threshold)
 
 
+def _components(own: DataFrame, threshold: int) -> DataFrame:
+    """``fp, root``: every fingerprint of ``own(doc_id, fp)`` and the smallest one that links reach."""
+    distinct = staged(own.select("fp").distinct(), "distinct")
+    found = connected_components(fingerprint_links(distinct, threshold)).withColumnRenamed("node", "fp")
+    return staged(distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
     """Near-copy groups of whole texts: ``doc_id, fp, component_id``, a row per document.
 
@@ -237,20 +243,24 @@ def near_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFr
     other than doc_id and text are ignored.
     """
     own = staged(fingerprints(docs, shingle), "fingerprints")
-    distinct = staged(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = staged(connected_components(fingerprint_links(distinct, threshold)).withColumnRenamed("node", "fp"), "roots")
-    rooted = distinct.join(found, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = staged(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    rooted = _components(own, threshold)
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(rooted, "fp")
+    least = staged(least.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = staged(rooted.join(least, "root").select("fp", "component_id"), "named")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that are near copies of a document with a smaller doc_id, by ``groups(doc_id, component_id)``.
+def drop_copies(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, with all its columns: the one with the smallest doc_id, null last.
 
-    So one document of each group stays.  Rows of one doc_id stay or go
-    together, and rows without doc_id stay.
+    Rows are told apart by doc_id and text, so different documents under one
+    doc_id, or without one, each stay or go with their own group; of rows
+    equal in both one stays.  An empty table gives no row.
     """
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
-    # the list of copies grows with the documents, so the plan is a merge join at every size
-    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["_copy_id"], "left_anti")
+    keyed = docs.withColumns(row_key("doc_id", "text"))
+    own = staged(fingerprints(keyed, shingle, keep=ROW_KEY), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)
+    of_fp = own.groupBy("fp").agg(F.min(first).alias("first")).join(_components(own, threshold), "fp")
+    kept = of_fp.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{c}").alias(c) for c in ROW_KEY])
+    rows = own.groupBy(*ROW_KEY).agg(F.count("*").alias("_rows"))
+    return one_per_key(keyed, staged(rows.join(kept, list(ROW_KEY)), "kept")).select(*docs.columns)

@@ -84,8 +84,8 @@ def test_documents(spark):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, component_id int")
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs).collect()}
     assert got == {(9, 3), (3, 3), (5, 4), (4, 4), (7, 7), (8, 7), (None, 7), (None, None)}
-    kept = sorted(map(repr, (r["doc_id"] for r in simhash.drop_copies(docs, simhash.near_copies(docs)).collect())))
-    assert kept == sorted(map(repr, [3, 4, 7, 7, None, None]))
+    kept = sorted(map(repr, (r["doc_id"] for r in simhash.drop_copies(docs).collect())))
+    assert kept == sorted(map(repr, [3, 4, 7, None])) and simhash.drop_copies(docs).columns == docs.columns
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
@@ -93,27 +93,3 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(5, 5), (None, 4), (7, None), (6, 5)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in range(5, 60)}}
-
-
-def test_similar_copies(spark):
-    draw = random.Random(6)
-    words = ["".join(draw.choices(["th", "er", "ing", "on", "a", "st"], k=draw.randint(1, 4))) for _ in range(900)]
-    common = ["the", "of", "and", "to", "in"]
-    prose = lambda n: [draw.choice(common if draw.random() < 0.4 else words) for _ in range(n)]
-    rows, group = [], {}
-    for g in range(40):
-        base = prose(draw.randint(150, 400))
-        for copy in range(draw.randint(1, 6)):
-            text = base.copy()
-            for _ in range(len(base) // 100 if copy else 0):
-                text[draw.randrange(len(text))] = draw.choice(words)
-            group[len(rows)] = g
-            rows.append((len(rows), " ".join(text)))
-    rows += [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE"), (None, "one"), (1004, "two words")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_copies(docs).collect()}
-    first = {g: min(i for i in group if group[i] == g) for g in group.values()}
-    assert all(group[got[i]] == group[i] for i in group)
-    assert sum(got[i] == first[group[i]] for i in group) >= 0.95 * len(group)
-    assert [got[i] for i in (1000, 1001, 1002, 1003, None, 1004)] == [1000, 1000, 1002, 1002, 1002, 1004]
-    assert simhash.similar_copies(docs.limit(0)).count() == 0
