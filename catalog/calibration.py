@@ -22,8 +22,9 @@ def label_union(spark, folder):
 
 
 def shuffle(spark, folder):
-    return K.shuffle(scored(spark, folder), ["repo", "issue_1_number", "issue_2_number"]).select(
-        "repo", "issue_1_number", "issue_2_number")
+    """The order is compared as each row's place in it."""
+    keys = ["repo", "issue_1_number", "issue_2_number"]
+    return K.with_places(K.shuffle(scored(spark, folder), keys)).select("place", *keys)
 
 
 def head(spark, folder):
@@ -63,7 +64,9 @@ _STATS = """+st as (select true_label, count(*) as n, stddev_samp(cosine_similar
 
 SQL = {
     "label_union": with_views("scored_pairs", "select cosine_similarity as similarity, true_label as is_duplicate from scored_pairs"),
-    "shuffle": with_views("scored_pairs", "select repo, issue_1_number, issue_2_number from scored_pairs"),
+    "shuffle": with_views("scored_pairs", """select place, repo, issue_1_number, issue_2_number from (
+        select *, row_number() over (order by md5(concat_ws('|', '42', repo, issue_1_number, issue_2_number)), repo, issue_1_number, issue_2_number) as place
+        from scored_pairs)"""),
     "head": with_views("scored_pairs", """select repo, issue_1_number, issue_2_number, cosine_similarity from scored_pairs
         order by cosine_similarity desc, repo, issue_1_number, issue_2_number limit 5"""),
     "similarity_histogram": with_views("scored_pairs", _STATS + """
@@ -71,11 +74,14 @@ SQL = {
         from (select true_label, lo, hi, cast(least(floor((cosine_similarity - lo) / ((hi - lo) / 50)), 49) as bigint) as bin
               from scored_pairs, rg) group by all"""),
     "similarity_kde": with_views("scored_pairs", _STATS + """,
-        g as (select i as point, lo + i * ((hi - lo) / 199) as x, n_all from rg, (select unnest(range(0, 200)) as i))
+        g as (select i as point, lo + i * ((hi - lo) / 199) as x, n_all from rg, (select unnest(range(0, 200)) as i)),
+        binned as (select true_label, (cosine_similarity - lo) / (hi - lo) * 3184 as place, least(floor(place), 3183) as low from scored_pairs, rg),
+        cells as (select true_label, cell, sum(weight) as weight from (
+            select true_label, low as cell, low + 1 - place as weight from binned union all select true_label, low + 1, place - low from binned) group by all)
         select s.true_label as is_duplicate, g.point, round(any_value(g.x), 9) as x,
-               round(sum(exp(cast(-0.5 as double) * pow((g.x - s.cosine_similarity) / (st.sd * pow(st.n, cast(-0.2 as double))), 2))
+               round(sum(s.weight * exp(cast(-0.5 as double) * pow((g.point - s.cell / 16) * ((hi - lo) / 199) / (st.sd * pow(st.n, cast(-0.2 as double))), 2))
                      / (g.n_all * st.sd * pow(st.n, cast(-0.2 as double)) * sqrt(2 * pi()))), 6) as density
-        from scored_pairs s join st on s.true_label = st.true_label, g group by all"""),
+        from cells s join st on s.true_label = st.true_label, g, rg group by all"""),
     "pr_curve": with_views("scored_pairs", _CURVE + """
         select threshold, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1 from curve"""),
     "best_threshold": with_views("scored_pairs", _CURVE + """

@@ -10,6 +10,7 @@ from reposift.functions import text as X
 from reposift.operators import cascade as C
 from reposift.operators import neighbours as N
 from reposift.operators import pairs as P
+from reposift.operators import text_classifier as TC
 from reposift.operators.embedding import embed_texts
 from reposift.plans import labelling
 from reposift.session import work_path
@@ -224,16 +225,12 @@ def write_labelled_pairs(spark, folder):
 
 
 def write_with_fallback(spark, folder):
-    """Access to the first path is denied; the rows arrive at the second."""
-    first, second = work_path(spark, "denied"), work_path(spark, "fallback")
-
-    def write(path):
-        if path == first:
-            raise PermissionError(path)
-        S.write_pairs(scored(spark, folder), path)
-
-    used = S.write_with_fallback(write, first, second)
-    return spark.read.parquet(used).select(*KEY)
+    """A plain file stands where the first path's folder should be, so storage refuses to write there; the rows arrive at the second."""
+    blocked, second = work_path(spark, "blocked"), work_path(spark, "fallback")
+    S.put_file(spark, blocked)
+    rows = scored(spark, folder)
+    used = S.write_with_fallback(lambda path: S.write_pairs(rows, path), f"{blocked}/denied", second)
+    return spark.read.parquet(used).select(*KEY, F.lit(used == second).alias("fell_back"))
 
 
 # --- cascade
@@ -315,6 +312,19 @@ def cascade(spark, folder):
     return C.cascade(scored(spark, folder), first_scorer, second_scorer).select(*KEY, *_TRAIL)
 
 
+def classify_texts(spark, folder):
+    """The bundled first pass on the texts of alike issues."""
+    told = TC.first_pass(_pairs(spark, folder))
+    return told.select(*KEY, "is_duplicate", F.round("confidence", 9).alias("confidence"), "needs_review", "duplicate_type", "reason",
+                       *[F.array_join(c, "|").alias(c) for c in ("matching_signals", "difference_signals")])
+
+
+def text_cascade(spark, folder):
+    """Both bundled passes on the texts of alike issues; those below 0.5 aren't classified."""
+    outcome = C.cascade(_pairs(spark, folder), TC.first_pass, TC.second_pass, minimum=0.5)
+    return outcome.select(*KEY, *_TRAIL).withColumns({c: F.round(c, 9) for c in ("confidence", "pass_1_confidence")})
+
+
 def branch_union(spark, folder):
     """How many pairs came through each branch."""
     branch = F.when(F.col("pass_1_is_duplicate").isNull(), F.lit("gate")).when(
@@ -383,7 +393,7 @@ QUERIES = {f.__name__: f for f in (
     scan_issues, issues_per_repo_cap, scan_multi_repo, scan_pairs_csv, scan_progress, repo_pairs, block_pairs, block_counts, unique_issues,
     issue_table, pair_embeddings, missing_vectors, pair_cosine, scored_pair_corpus, merge_progress, resume_antijoin, already_labelled,
     counts, coerce_pair_types, write_pairs, write_scored_pairs, write_labelled_pairs, write_with_fallback, llm_gate,
-    second_check_needed, classify_pairs, cascade, branch_union, review_rows, label_to_int, label_checkpoints,
+    second_check_needed, classify_pairs, classify_texts, cascade, text_cascade, branch_union, review_rows, label_to_int, label_checkpoints,
     label_pairs_job, fail_fast)}
 
 _K = "repo, issue_1_number, issue_2_number"
@@ -403,6 +413,17 @@ _FIRST = """judged as (select *, cosine_similarity >= 0.6 as dup1, ((issue_1_num
     ((issue_1_number * 13 + issue_2_number * 7) % 100) / cast(100 as double) as conf2 from scored_pairs),
     gated as (select *, cosine_similarity >= 0.40 as asked,
               rev1 or conf1 < case when dup1 then cast(0.9 as double) else cast(0.85 as double) end as again from judged)"""
+_WORDS = "regexp_extract_all(lower({}), '[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+')"
+_TEXT_SETS = f"""w as (select *, {_WORDS.format('issue_1_text')} as w1, {_WORDS.format('issue_2_text')} as w2 from pairs),
+    s as (select * exclude (w1, w2), list_distinct(w1) as w1, list_distinct(w2) as w2,
+                 list_distinct(list_transform(range(1, greatest(len(w1) - 1, 1) + 1), lambda i: array_to_string(list_slice(w1, i, i + 1), ' '))) as s1,
+                 list_distinct(list_transform(range(1, greatest(len(w2) - 1, 1) + 1), lambda i: array_to_string(list_slice(w2, i, i + 1), ' '))) as s2 from w),
+    i as (select *, len(list_intersect(s1, s2)) as sc, len(s1) + len(s2) - len(list_intersect(s1, s2)) as sa,
+                 len(list_intersect(w1, w2)) as wc, least(len(w1), len(w2)) as wa from s),
+    judged as (select *, cast(sc as double) / sa as j, cast(wc as double) / wa as c, contains(issue_1_text, '?') and contains(issue_2_text, '?') as asking from i),
+    passes as (select *, j >= 0.3 as dup1, 0.5::double + 0.5::double * case when j >= 0.3 then (j - 0.3::double) / 0.7::double else (0.3::double - j) / 0.3::double end as conf1,
+                      c >= 0.6 as dup2, 0.5::double + 0.5::double * case when c >= 0.6 then (c - 0.6::double) / 0.4::double else (0.6::double - c) / 0.6::double end as conf2 from judged),
+    told as (select *, conf1 < 0.6 as rev1, cosine_similarity >= 0.5 as asked, conf1 < 0.6 or conf1 < case when dup1 then 0.9 else 0.85 end as again from passes)"""
 _BAD = "(issue_1_number + issue_2_number) % 97 = 0"
 _LABEL = "case when not asked then 0 when again then dup2::int else dup1::int end"
 _CONF = "case when not asked then cast(1 as double) when again then conf2 else conf1 end"
@@ -464,7 +485,7 @@ SQL = {
     "write_scored_pairs": with_views("scored_pairs", f"select {_K}, cosine_similarity from scored_pairs"),
     "write_labelled_pairs": with_views("pairs", f"""select {_K}, md5('''=' || issue_1_text) as text_1, '0.25' as final_confidence,
         'repo,issue_1_number,issue_1_text,issue_2_number,issue_2_text,cosine_similarity,is_duplicate,final_confidence' as columns from pairs"""),
-    "write_with_fallback": with_views("scored_pairs", f"select {_K} from scored_pairs"),
+    "write_with_fallback": with_views("scored_pairs", f"select {_K}, true as fell_back from scored_pairs"),
     "llm_gate": with_views("scored_pairs", f"select {_K}, cosine_similarity >= 0.40 as classify from scored_pairs"),
     "second_check_needed": with_views("scored_pairs", f"+{_FIRST} select {_K}, again from gated"),
     "classify_pairs": with_views("scored_pairs", f"""+{_FIRST}
@@ -482,6 +503,26 @@ SQL = {
                case when asked then rev1 end as pass_1_needs_review, asked and again as second_check_ran,
                case when asked and again then dup1 = dup2 end as verifier_agree_with_first_pass,
                case when asked and again then 'auto_label' end as verifier_final_route from gated"""),
+    "classify_texts": with_views("pairs", f"""+{_TEXT_SETS}
+        select {_K}, dup1 as is_duplicate, round(conf1, 9) as confidence, rev1 as needs_review,
+               case when not dup1 then 'not_duplicate' when asking then 'same_question' else 'same_bug' end as duplicate_type,
+               sc || ' of ' || sa || ' shingles shared' as reason,
+               array_to_string(list_slice(list_sort(list_intersect(s1, s2)), 1, 3), '|') as matching_signals,
+               array_to_string(list_concat(list_slice(list_sort(list_filter(s1, lambda x: not list_contains(s2, x))), 1, 3),
+                                           list_slice(list_sort(list_filter(s2, lambda x: not list_contains(s1, x))), 1, 3)), '|') as difference_signals
+        from told"""),
+    "text_cascade": with_views("pairs", f"""+{_TEXT_SETS}
+        select {_K}, case when not asked then false when again then dup2 else dup1 end as is_duplicate,
+               round(case when not asked then 1 when again then conf2 else conf1 end, 9) as confidence,
+               case when asked and not again then rev1 when asked then conf2 < 0.6 else false end as needs_review,
+               case when not asked or not case when again then dup2 else dup1 end then 'not_duplicate'
+                    when asking then 'same_question' else 'same_bug' end as duplicate_type,
+               case when not asked then 'cosine below 0.5: not classified' when again then wc || ' of ' || wa || ' words shared'
+                    else sc || ' of ' || sa || ' shingles shared' end as reason,
+               case when asked then dup1 end as pass_1_is_duplicate, round(case when asked then conf1 end, 9) as pass_1_confidence,
+               case when asked then rev1 end as pass_1_needs_review, asked and again as second_check_ran,
+               case when asked and again then dup1 = dup2 end as verifier_agree_with_first_pass,
+               case when asked and again then case when conf2 < 0.6 then 'manual_review' else 'auto_label' end end as verifier_final_route from told"""),
     "branch_union": with_views("scored_pairs", f"""+{_FIRST}
         select case when not asked then 'gate' when again then 'verified' else 'first' end as branch, count(*) as pairs
         from gated group by 1"""),

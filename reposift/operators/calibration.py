@@ -30,7 +30,16 @@ def shuffle(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     Unlike a generator per partition this gives the same order again when a
     lost task is repeated.
     """
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys).cast("binary")), *keys)
+
+
+def with_places(ordered: DataFrame) -> DataFrame:
+    """Ordered rows with their ``place`` from 1; each task counts its own rows and only counts per task are added up."""
+    rows = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_task": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.sum("n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    tasks = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("n")).select("_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(tasks, "_task").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_task", "_before", "_at")
 
 
 def head(df: DataFrame, order: list, n: int = 5) -> DataFrame:
@@ -109,7 +118,7 @@ def _label_stats(sample: DataFrame) -> DataFrame:
 def similarity_histogram(sample: DataFrame, bins: int = defaults.HISTOGRAM_BINS) -> DataFrame:
     """Counts per label in ``bins`` equal bins over the common range; the last bin is closed."""
     require_positive(bins=bins)
-    stats = F.broadcast(_label_stats(sample).select("is_duplicate", "lo", "hi"))
+    stats = _label_stats(sample).select("is_duplicate", "lo", "hi")
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width > 0, F.floor((F.col("similarity") - F.col("lo")) / width)).otherwise(F.lit(0))
     return (
@@ -120,32 +129,44 @@ def similarity_histogram(sample: DataFrame, bins: int = defaults.HISTOGRAM_BINS)
     )
 
 
-def similarity_kde(
-    sample: DataFrame, grid: int = defaults.KDE_GRID, decimals: int | None = None, common_norm: bool = True
-) -> DataFrame:
-    """Gaussian density per label on ``grid`` points over the common range.
+#: Cells of the fine histogram in one step of the density grid, and bandwidths beyond which a kernel is left out (exp(-40) of its height).
+KDE_CELLS, KDE_REACH = 16, 9.0
+
 
-    Bandwidth is ``stddev_samp * n^(-1/5)``.  Each distinct score adds its
-    kernel to the grid points inside its task and only ``grid`` sums per label
-    and task are shuffled.  ``decimals`` rounds scores first, which bounds the
-    work by the number of rounded scores.  With ``common_norm`` the areas of
-    the labels add up to one.
+def similarity_kde(sample: DataFrame, grid: int = defaults.KDE_GRID, common_norm: bool = True) -> DataFrame:
+    """Gaussian density per label on ``grid`` points over the common range, a row per label and point.
+
+    Bandwidth is ``stddev_samp * n^(-1/5)``.  Scores are first binned linearly:
+    each gives its weight to the two nearest cells of a fine histogram, summed
+    in its own task, so later work depends on the grid and not on how many
+    scores there are.  Each cell then adds its kernel to the points within
+    KDE_REACH bandwidths.  Against the sum over all scores a density is off by
+    at most (cell / bandwidth)^2 / 8 of the label's highest possible density,
+    one over bandwidth * sqrt(2 pi).  With ``common_norm`` the areas of the
+    labels add up to one.  Labels of one score, or of equal ones, have no row.
     """
     require_positive(grid=grid)
-    stats = F.broadcast(_label_stats(sample))
-    score = F.col("similarity") if decimals is None else F.round("similarity", decimals)
-    weights = sample.groupBy("is_duplicate", score.alias("similarity")).agg(F.count(F.lit(1)).alias("weight"))
-    step = (F.col("hi") - F.col("lo")) / max(grid - 1, 1)
-    x = F.col("lo") + F.col("point") * step
+    stats = _label_stats(sample).filter("sd > 0")
+    steps = max(grid - 1, 1)
+    fine = KDE_CELLS * steps
+    place = (F.col("similarity") - F.col("lo")) / (F.col("hi") - F.col("lo")) * fine
+    low = F.least(F.floor(place), F.lit(fine - 1))
+    shares = F.array(F.struct(low.alias("cell"), (low + 1 - place).alias("weight")), F.struct((low + 1).alias("cell"), (place - low).alias("weight")))
+    cells = sample.join(stats, "is_duplicate").select("is_duplicate", F.inline(shares)).groupBy("is_duplicate", "cell").agg(F.sum("weight").alias("weight"))
+
+    step = (F.col("hi") - F.col("lo")) / steps
     bandwidth = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    z = (x - F.col("similarity")) / bandwidth
+    at, reach = F.col("cell") / F.lit(float(KDE_CELLS)), F.lit(KDE_REACH) * bandwidth / step
+    first = F.greatest(F.ceil(at - reach), F.lit(0)).cast("long")
+    last = F.least(F.floor(at + reach), F.lit(grid - 1)).cast("long")
+    z = (F.col("point") - at) * step / bandwidth
     mass = F.col("n_all") if common_norm else F.col("n")
     kernel = F.col("weight") * F.exp(F.lit(-0.5) * z * z) / (mass * bandwidth * F.sqrt(F.lit(2.0) * F.pi()))
-    return (
-        weights.join(stats, "is_duplicate")
-        .filter(F.col("sd") > 0)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-        .select("is_duplicate", F.col("point").cast("bigint").alias("point"), x.alias("x"), kernel.alias("kernel"))
-        .groupBy("is_duplicate", "point")
-        .agg(F.first("x").alias("x"), F.sum("kernel").alias("density"))
+    sums = (
+        cells.join(stats, "is_duplicate").withColumns({"first": first, "last": last}).filter("first <= last")
+        .withColumn("point", F.explode(F.sequence("first", "last")))
+        .groupBy("is_duplicate", "point").agg(F.sum(kernel).alias("density"))
     )
+    points = stats.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
+    points = points.select("is_duplicate", "point", (F.col("lo") + F.col("point") * step).alias("x"))
+    return points.join(sums, ["is_duplicate", "point"], "left").fillna(0.0, ["density"])

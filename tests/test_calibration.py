@@ -65,7 +65,20 @@ def test_density(spark):
         h = sd * len(mine) ** -0.2
         x = lo + r.point * (hi - lo) / 10
         want = sum(math.exp(-((x - s) / h) ** 2 / 2) for s in mine) / (len(rows) * h * math.sqrt(2 * math.pi))
-        assert r.x == pytest.approx(x) and r.density == pytest.approx(want)
+        error = ((hi - lo) / 10 / K.KDE_CELLS / h) ** 2 / 8 / (h * math.sqrt(2 * math.pi))
+        assert r.x == pytest.approx(x) and r.density == pytest.approx(want, abs=error)
+    assert len(got) == 2 * 11
+
+
+def test_density_work_does_not_grow_with_scores(spark):
+    import random
+
+    draw = random.Random(1)
+    some = spark.createDataFrame([(draw.random() ** 2, i % 2) for i in range(20_000)], SAMPLE)
+    cells = K.similarity_kde(some, grid=21)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in cells and K.similarity_kde(some, grid=21).count() == 42
+    one = spark.createDataFrame([(0.5, 0), (0.5, 0), (0.7, 1)], SAMPLE)
+    assert K.similarity_kde(one).count() == 0 and K.similarity_kde(some.limit(0)).count() == 0
 
 
 def test_shuffle_is_repeatable(spark):
@@ -73,3 +86,11 @@ def test_shuffle_is_repeatable(spark):
     one = [r.id for r in K.shuffle(df, ["id"], 1).collect()]
     assert one == [r.id for r in K.shuffle(df.repartition(7), ["id"], 1).collect()]
     assert one != [r.id for r in K.shuffle(df, ["id"], 2).collect()] and sorted(one) == list(range(200))
+
+
+def test_places(spark):
+    df = spark.range(1000).repartition(7)
+    ordered = K.shuffle(df, ["id"], 3)
+    got = sorted((r.place, r.id) for r in K.with_places(ordered).collect())
+    assert [p for p, _ in got] == list(range(1, 1001)) and [i for _, i in got] == [r.id for r in ordered.collect()]
+    assert K.with_places(df.limit(0)).count() == 0
