@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from catalog.inputs import view, with_views
@@ -73,17 +75,18 @@ def issues_per_repo_cap(spark, folder):
 
 
 def scan_multi_repo(spark, folder):
-    """All dumps plus one that holds broken records and one that isn't there."""
+    """All dumps plus one that holds broken records, one that isn't there and one whose packed file breaks off."""
     path = _dump(spark, folder)
-    broken = work_path(spark, "broken")
+    broken, cut = work_path(spark, "broken"), work_path(spark, "cut")
     view(spark, folder, "issues").filter("repo_name = 'src1'").select(
         F.concat(F.lit('{"number": '), F.col("issue_number").cast("string")).alias("value")).write.text(broken)
-    good, bad, skipped = I.read_issue_dumps(spark, [path, broken, f"{path}/part=absent"])
+    S.put_file(spark, f"{cut}/part.json.gz", gzip.compress(b'{"repo_name": "src1", "number": 1}\n' * 5000)[:-40])
+    dumps = I.read_issue_dumps(spark, [path, broken, f"{path}/part=absent", cut])
+    failed = dumps.failed.select(F.element_at(F.split("path", "/"), -1).alias("repo_name"), F.lit(0).cast("bigint").alias("issues"), F.col("reason").alias("kind"))
     return (
-        good.groupBy("repo_name").agg(F.count(F.lit(1)).alias("issues")).withColumn("kind", F.lit("read"))
-        .unionByName(bad.agg(F.count(F.lit(1)).alias("issues")).withColumns(
-            {"kind": F.lit("broken"), "repo_name": F.lit("")}))
-        .withColumn("skipped_paths", F.lit(len(skipped)).cast("bigint"))
+        dumps.issues.groupBy("repo_name").agg(F.count(F.lit(1)).alias("issues")).withColumn("kind", F.lit("read"))
+        .unionByName(dumps.broken.agg(F.count(F.lit(1)).alias("issues")).withColumns({"kind": F.lit("broken"), "repo_name": F.lit("")}))
+        .unionByName(failed)
     )
 
 
@@ -435,8 +438,9 @@ SQL = {
     "issues_per_repo_cap": with_views("issues", """select repo_name, issue_number, pos from (
         select *, row_number() over (partition by repo_name order by issue_number desc) as pos from issues) where pos <= 7"""),
     "scan_multi_repo": with_views("issues", """
-        select repo_name, count(*) as issues, 'read' as kind, cast(1 as bigint) as skipped_paths from issues group by repo_name
-        union all select '', count(*), 'broken', cast(1 as bigint) from issues where repo_name = 'src1'"""),
+        select repo_name, count(*) as issues, 'read' as kind from issues group by repo_name
+        union all select '', count(*), 'broken' from issues where repo_name = 'src1'
+        union all select 'part=absent', 0, 'FileNotFoundException' union all select 'part.json.gz', 0, 'truncated'"""),
     "scan_pairs_csv": with_views("pairs", f"select {_K}, {_TEXTS} as texts, '' as is_duplicate from pairs"),
     "scan_progress": with_views("progress", f"select {_K}, is_duplicate, final_confidence from progress"),
     "repo_pairs": with_views("issues", """+capped as (

@@ -4,8 +4,10 @@ The join never lays out all pairs of a repository as rows.  Vectors are split
 into blocks of bounded size, block pairs are multiplied inside Arrow batches
 and only the best ``k`` matches per query and block leave a task:
 
-* every vector belongs to the cluster of its nearest pivot (at most
-  ``MAX_CLUSTERS`` pivots, picked by hash order, so their size is bounded);
+* every vector belongs to the cluster of its nearest pivot; pivots are picked by
+  hash order, as many as the caller states or else the square root of the
+  number of blocks, so what is collected and sent to tasks grows far slower
+  than the data;
 * a cluster of a large repository is salted into sub-blocks of about
   ``block_rows`` rows, which keeps a repository holding a third of all rows
   from landing in one task;
@@ -32,7 +34,6 @@ from reposift.functions.vectors import distance_to_similarity
 from reposift.operators.validation import require_positive
 from reposift.session import cut_lineage
 
-MAX_CLUSTERS = 256
 BLOCK_ROWS = 4096
 SIMILARITY_DECIMALS = 9
 
@@ -115,7 +116,7 @@ def _rank(matches: DataFrame, k: int) -> DataFrame:
 
 
 def _pick_pivots(vectors: DataFrame, n_clusters: int) -> list[list[float]]:
-    """At most ``MAX_CLUSTERS`` vectors in hash order: a bounded, repeatable choice."""
+    """``n_clusters`` vectors in hash order: a repeatable choice."""
     spread = F.xxhash64("repo_name", "issue_number")
     rows = vectors.select("embedding").orderBy(spread, "repo_name", "issue_number").limit(n_clusters).collect()
     return [[float(x) for x in row.embedding] for row in rows]
@@ -248,8 +249,8 @@ def _prepare(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFra
 def _choose_clusters(vectors: DataFrame, queries: DataFrame, n_clusters: int | None, block_rows: int) -> int:
     if n_clusters is None:
         size = max(vectors.count(), 0 if queries is vectors else queries.count())
-        n_clusters = math.ceil(size / block_rows)
-    return max(1, min(MAX_CLUSTERS, n_clusters))
+        n_clusters = math.ceil(math.sqrt(size / block_rows))
+    return max(1, n_clusters)
 
 
 def knn_topk(
@@ -312,7 +313,7 @@ def knn_topk(
         F.count(F.lit(1)).alias("found"), F.min("similarity").alias("least")
     )
     floor = F.when(F.col("found") >= k, F.col("least")).otherwise(F.lit(-2.0))
-    # at most MAX_CLUSTERS entries per repository
+    # at most one entry per pivot and repository
     reach = stats.groupBy("repo_name").agg(F.sort_array(F.collect_list(F.struct("cluster", "radius", "parts"))).alias("c"))
     visits = (
         homes.join(bound, ["repo_name", "query_number"], "left")

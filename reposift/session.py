@@ -59,9 +59,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give under-split input to all cores.
 
-    Fewer files than cores usually means fewer tasks than cores, which hurts
-    where rows are expensive (models, text cleaning).  Input of many files is
-    left alone, so large tables aren't shuffled.
+    Fewer partitions than cores means idle cores, which hurts where rows are
+    expensive (models, text cleaning).  Input of more partitions is left alone,
+    so large tables aren't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

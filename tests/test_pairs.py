@@ -115,10 +115,32 @@ def test_progress_source(spark, work):
 def test_issue_dumps(spark, work):
     path, gone = work(), work()
     spark.createDataFrame([('{"repo_name":"r","number":1,"title":"t","body":null}',), ('{"number": 2',), ("",)], "value string").write.text(path)
-    good, bad, skipped = I.read_issue_dumps(spark, [path, gone])
-    assert [(r.issue_number, r.body) for r in good.collect()] == [(1, None)] and bad.count() == 1 and skipped == [gone]
-    none, _, skipped = I.read_issue_dumps(spark, [gone])
-    assert none.count() == 0 and skipped == [gone]
+    dumps = I.read_issue_dumps(spark, [path, gone])
+    assert [(r.issue_number, r.body) for r in dumps.issues.collect()] == [(1, None)] and dumps.broken.count() == 1
+    assert [tuple(r) for r in dumps.failed.collect()] == [(gone, "FileNotFoundException")]
+    none = I.read_issue_dumps(spark, [gone])
+    assert none.issues.count() == none.broken.count() == 0 and none.failed.count() == 1
+
+
+def test_damaged_files_are_left_out_whole(spark, work):
+    import gzip
+
+    from reposift.sinks.pair_tables import put_file
+
+    path = work("packed")
+    line = b'{"repo_name": "%s", "number": 1, "title": "t"}\n'
+    whole = lambda name: gzip.compress(line % name * 3000)
+    bent = bytearray(whole(b"bent"))
+    bent[len(bent) // 2 :] = bytes(b ^ 255 for b in bent[len(bent) // 2 :])
+    files = {"a.json.gz": whole(b"a"), "two.json.gz": whole(b"two") + whole(b"two"), "cut.json.gz": whole(b"cut")[:-9], "bent.json.gz": bytes(bent),
+             "none.json.gz": b"", "plain.json": line % b"plain", "sub/b.json.gz": whole(b"b")}
+    for name, content in files.items():
+        put_file(spark, f"{path}/{name}", content)
+    dumps = I.read_issue_dumps(spark, [path])
+    counts = {r["repo_name"]: r["count"] for r in dumps.issues.groupBy("repo_name").count().collect()}
+    assert counts == {"a": 3000, "two": 6000, "b": 3000, "plain": 1} and dumps.broken.count() == 0
+    failed = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in dumps.failed.collect()}
+    assert failed["cut.json.gz"] == "truncated" and failed["bent.json.gz"] in ("damaged", "truncated") and failed.keys() == {"cut.json.gz", "bent.json.gz"}
 
 
 def test_bad_types_are_set_aside(spark):
