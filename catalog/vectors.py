@@ -10,8 +10,10 @@ from reposift.operators import lsh
 from reposift.operators import neighbours as N
 from reposift.operators import validation as V
 from reposift.operators.embedding import embed_issues
+from reposift.functions.text import combine_text
 from reposift.functions.text import match_message as message_text
 from reposift.functions.text import pr_payload
+from reposift.operators.tfidf import embed_tfidf as fitted_vectors
 from reposift.plans import duplicates as D
 from reposift.session import work_path
 from reposift.sinks import vector_table as T
@@ -36,6 +38,15 @@ def embed_batch(spark, folder):
     return parts.select("issue_number", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def embed_tfidf(spark, folder):
+    """Fitted TF-IDF vectors of whole issue texts; their components that aren't zero."""
+    issues = view(spark, folder, "issues")
+    texts = issues.select("repo_name", "issue_number", combine_text(F.col("title"), F.col("body")).alias("text"))
+    vectors = fitted_vectors(texts, ["repo_name", "issue_number"])
+    parts = vectors.select("issue_number", F.posexplode("embedding").alias("pos", "x"))
+    return parts.select("issue_number", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("x").cast("double"), 5).alias("x")).filter("x <> 0")
+
+
 def non_empty_text(spark, folder):
     """Turns of the assistant are blanked, which makes them unfit for embedding."""
     turns = spark.read.parquet(f"{folder}/conversations.parquet").withColumn(
@@ -274,7 +285,7 @@ def param_checks(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    embed_batch, non_empty_text, knn_topk, knn_rank, ann_join, ann_join_full_probe, repo_filter, similarity_threshold,
+    embed_batch, embed_tfidf, non_empty_text, knn_topk, knn_rank, ann_join, ann_join_full_probe, repo_filter, similarity_threshold,
     duplicate_decision, find_duplicates, pr_duplicate_decision, triage_actions, match_message, vector_upsert,
     vector_upsert_batch, ensure_vector_table, latest_version, stored_repo_search, valid_metadata, valid_dimension,
     valid_issue, valid_results, valid_verdicts, valid_requests, aligned_arrays, required_columns, param_checks)}
@@ -341,6 +352,11 @@ _RK = "repo_name, issue_number"
 SQL = {
     "embed_batch": with_views("issues", _ISSUE_TEXT + "," + hashed_sql("t", _RK, "text") + """
         select issue_number, units.at as pos, round(x, 6) as x from units"""),
+    "embed_tfidf": with_views("pairs", """+hashed as (
+            select repo, issue_number, cast(('0x' || substring(md5(word), 1, 8)) as bigint) % 256 as pos,
+                   sum(case when substring(md5(word), 9, 1) < '8' then w else -w end) as x from raw group by all),
+        scaled as (select issue_number, pos, round(cast(cast(x / sqrt(sum(x * x) over (partition by repo, issue_number)) as float) as double), 5) as x from hashed)
+        select issue_number, pos, x from scaled where x <> 0"""),
     "non_empty_text": """select conv_id, turn, case when role = 'assistant' then 'text: blank' else '' end as reason from conversations""",
     "knn_topk": with_views("vectors", _near("true", 3) + f" select {_KNN_COLUMNS} from r"),
     "knn_rank": with_views("vectors", _near(_OTHER, 10) + " select repo_name, query_number, match_number, rnk from r"),

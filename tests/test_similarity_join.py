@@ -9,7 +9,7 @@ import pytest
 
 from reposift.operators import pairs as P
 from reposift.operators import similarity_join as J
-from reposift.operators.tfidf import tfidf
+from reposift.operators.tfidf import embed_tfidf, tfidf
 
 
 def issues():
@@ -104,3 +104,19 @@ def test_no_python_and_no_unfiltered_pairs(table):
 def test_empty(spark):
     empty = spark.createDataFrame([], "repo_name string, issue_number long, title string, body string")
     assert P.similar_pairs(empty).count() == 0
+
+
+def test_hashed_vectors(spark):
+    import hashlib
+
+    texts = [(i, t) for i, t in enumerate(["a b b", "A c", None, "", "a", "a a a"])]
+    df = spark.createDataFrame(texts, "n int, text string")
+    got = {r["n"]: r["embedding"] for r in embed_tfidf(df, ["n"], dimension=16).collect()}
+    raw = {0: {"a": 1, "b": 2}, 1: {"a": 1, "c": 1}, 2: {}, 3: {}, 4: {"a": 1}, 5: {"a": 3}}
+    for n, counts in raw.items():
+        want = np.zeros(16)
+        for w, tf in counts.items():
+            digest = hashlib.md5(w.encode()).hexdigest()
+            want[int(digest[:8], 16) % 16] += tf * math.log(7 / ({"a": 4}.get(w, 1) + 1)) * (1 if digest[8] < "8" else -1)
+        assert got[n] == pytest.approx(want / (np.linalg.norm(want) or 1.0), abs=1e-6)
+    assert "Python" not in embed_tfidf(df, ["n"])._jdf.queryExecution().toString()
