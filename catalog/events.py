@@ -13,6 +13,7 @@ from reposift.functions.events import hmac_sha256_hex, is_json
 from reposift.operators import reviewers as R
 from reposift.operators import routing
 from reposift.session import work_path
+from reposift.sinks import ownership_table
 from reposift.sources import commits as C
 from reposift.sources import events as E
 from reposift.streaming import jobs
@@ -128,6 +129,19 @@ def stream_reviewers(spark, folder):
     return spark.read.parquet(out).drop("batch")
 
 
+def stream_reviewers_stored(spark, folder):
+    """Pull requests as a stream against a stored table that was filled by two writers."""
+    owners = R.file_ownership(view(spark, folder, "commits"), RC.AS_OF)
+    table, path, out = work_path(spark, "ownership"), work_path(spark, "prs"), work_path(spark, "reviewers")
+    first = F.pmod(F.xxhash64("file", "author"), F.lit(2)) == 0
+    for writer, part in (("one", owners.filter(first)), ("two", owners.filter(~first))):
+        ownership_table.append(part, table, writer)
+    C.prs_from_files(view(spark, folder, "pr_files")).write.parquet(path)
+    stream = spark.readStream.schema(C.PR_SCHEMA).parquet(path)
+    jobs.stream_reviewers_stored(stream, table, out, work_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def stream_ingest_history(spark, folder):
     """History in three increments adds up to the history at once."""
     path, out = work_path(spark, "commits"), work_path(spark, "owners")
@@ -143,7 +157,7 @@ def stream_ingest_history(spark, folder):
 QUERIES = {f.__name__: f for f in (
     pr_commit_messages, concat_messages, verify_signature, parse_event_json, payload_fields, malformed_events,
     route_events, requests_to_events, stream_events, stream_route, stream_duplicates, stream_reviewers,
-    stream_ingest_history)}
+    stream_reviewers_stored, stream_ingest_history)}
 
 _IPAD = bytes(b ^ 0x36 for b in SECRET.encode().ljust(64, b"\0")).hex()
 _OPAD = bytes(b ^ 0x5C for b in SECRET.encode().ljust(64, b"\0")).hex()
@@ -199,5 +213,6 @@ SQL = {
                                     + best_sql("t", "q.issue_number > v.issue_number") + """
         select repo_name, issue_number, is_duplicate, round(similarity_score, 6) as similarity_score, duplicate_of_number from verdicts"""),
     "stream_reviewers": RC.SQL["recommend_reviewers"],
+    "stream_reviewers_stored": RC.SQL["recommend_reviewers"],
     "stream_ingest_history": RC.SQL["file_ownership"],
 }
