@@ -52,7 +52,7 @@ LONG = "This is a long enough sentence about the matter at hand, and it goes on
     (f"<main><article><h1>T &amp; U&nbsp;x</h1><p>{LONG}</p><div class='ad'>Buy this now, it is cheap.</div><p>Yes.</p><ul><li>{LONG}</li></ul></article>"
      f"<aside class='sidebar'><h3>Related</h3><a href=1>Other story</a></aside></main><footer>&copy; 2020 Us</footer>",
      f"T & U x\n{LONG}\nYes.\n{LONG}"),
-    (f"<article><p>{LONG}</p></article><section id='comments'><article class='comment'><p>{LONG}</p></article></section><form><p>Your mail</p><button>Go</button></form>", LONG),
+    (f"<article><h1>One thing</h1><p>{LONG}</p></article><section id='comments'><article class='comment'><p>{LONG}</p></article></section><form><p>Your mail</p><button>Go</button></form>", f"One thing\n{LONG}"),
     (f"<table><tr><td class=sidebar><a href=1>One</a><td class=content><h2>Head</h2><p>{LONG}</p></table>", f"Head\n{LONG}"),
 ])
 def test_layouts(reader, html, want):
