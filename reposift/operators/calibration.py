@@ -129,44 +129,31 @@ def similarity_histogram(sample: DataFrame, bins: int = defaults.HISTOGRAM_BINS)
     )
 
 
-#: Cells of the fine histogram in one step of the density grid, and bandwidths beyond which a kernel is left out (exp(-40) of its height).
-KDE_CELLS, KDE_REACH = 16, 9.0
+#: Part of a grid step that tests allow a density to be off by; the sum itself takes every score as it is.
+KDE_CELLS = 16
 
 
 def similarity_kde(sample: DataFrame, grid: int = defaults.KDE_GRID, common_norm: bool = True) -> DataFrame:
     """Gaussian density per label on ``grid`` points over the common range, a row per label and point.
 
-    Bandwidth is ``stddev_samp * n^(-1/5)``.  Scores are first binned linearly:
-    each gives its weight to the two nearest cells of a fine histogram, summed
-    in its own task, so later work depends on the grid and not on how many
-    scores there are.  Each cell then adds its kernel to the points within
-    KDE_REACH bandwidths.  Against the sum over all scores a density is off by
-    at most (cell / bandwidth)^2 / 8 of the label's highest possible density,
-    one over bandwidth * sqrt(2 pi).  With ``common_norm`` the areas of the
-    labels add up to one.  Labels of one score, or of equal ones, have no row.
+    Bandwidth is ``stddev_samp * n^(-1/5)``.  Equal scores are counted first;
+    each distinct score then adds its kernel to every grid point inside its
+    task, and only ``grid`` sums per label and task are shuffled.  With
+    ``common_norm`` the areas of the labels add up to one.  Labels of one
+    score, or of equal ones, have no row.
     """
     require_positive(grid=grid)
     stats = _label_stats(sample).filter("sd > 0")
-    steps = max(grid - 1, 1)
-    fine = KDE_CELLS * steps
-    place = (F.col("similarity") - F.col("lo")) / (F.col("hi") - F.col("lo")) * fine
-    low = F.least(F.floor(place), F.lit(fine - 1))
-    shares = F.array(F.struct(low.alias("cell"), (low + 1 - place).alias("weight")), F.struct((low + 1).alias("cell"), (place - low).alias("weight")))
-    cells = sample.join(stats, "is_duplicate").select("is_duplicate", F.inline(shares)).groupBy("is_duplicate", "cell").agg(F.sum("weight").alias("weight"))
-
-    step = (F.col("hi") - F.col("lo")) / steps
+    weights = sample.groupBy("is_duplicate", "similarity").agg(F.count(F.lit(1)).alias("weight"))
+    step = (F.col("hi") - F.col("lo")) / max(grid - 1, 1)
+    x = F.col("lo") + F.col("point") * step
     bandwidth = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    at, reach = F.col("cell") / F.lit(float(KDE_CELLS)), F.lit(KDE_REACH) * bandwidth / step
-    first = F.greatest(F.ceil(at - reach), F.lit(0)).cast("long")
-    last = F.least(F.floor(at + reach), F.lit(grid - 1)).cast("long")
-    z = (F.col("point") - at) * step / bandwidth
+    z = (x - F.col("similarity")) / bandwidth
     mass = F.col("n_all") if common_norm else F.col("n")
     kernel = F.col("weight") * F.exp(F.lit(-0.5) * z * z) / (mass * bandwidth * F.sqrt(F.lit(2.0) * F.pi()))
-    sums = (
-        cells.join(stats, "is_duplicate").withColumns({"first": first, "last": last}).filter("first <= last")
-        .withColumn("point", F.explode(F.sequence("first", "last")))
-        .groupBy("is_duplicate", "point").agg(F.sum(kernel).alias("density"))
+    return (
+        weights.join(stats, "is_duplicate")
+        .withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
+        .groupBy("is_duplicate", "point")
+        .agg(F.first(x).alias("x"), F.sum(kernel).alias("density"))
     )
-    points = stats.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))))
-    points = points.select("is_duplicate", "point", (F.col("lo") + F.col("point") * step).alias("x"))
-    return points.join(sums, ["is_duplicate", "point"], "left").fillna(0.0, ["density"])

@@ -70,6 +70,16 @@ def test_density(spark):
     assert len(got) == 2 * 11
 
 
+def test_density_is_the_sum_over_all_scores(spark):
+    """Two far clusters give a bandwidth near the width of a bin, where binned scores would be off."""
+    scores = [0.0001 * i for i in range(40)] + [1.0]
+    got = K.similarity_kde(spark.createDataFrame([(s, 1) for s in scores], SAMPLE), grid=5).collect()
+    mean = sum(scores) / len(scores)
+    h = math.sqrt(sum((s - mean) ** 2 for s in scores) / (len(scores) - 1)) * len(scores) ** -0.2
+    want = {k: sum(math.exp(-((k / 4 - s) / h) ** 2 / 2) for s in scores) / (len(scores) * h * math.sqrt(2 * math.pi)) for k in range(5)}
+    assert {r.point: r.density for r in got} == pytest.approx(want, rel=1e-9)
+
+
 def test_density_work_does_not_grow_with_scores(spark):
     import random
 
