@@ -9,6 +9,7 @@ from math import exp, log
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reposift.llm.common import staged
 
@@ -166,6 +167,12 @@ def _leaf(node: Node, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, node.feature] > node.at, _leaf(node.right, x), _leaf(node.left, x))
 
 
+def _walk(node: Node, x: Column) -> Column:
+    if node.feature < 0:
+        return F.lit(node.value)
+    return F.when(F.get(x, F.lit(node.feature)) > F.lit(node.at), _walk(node.right, x)).otherwise(_walk(node.left, x))
+
+
 @dataclass(frozen=True)
 class Model:
     """Boosted trees of one generator: log odds are ``base`` plus every tree's leaf; ``threshold`` on the probability selects."""
@@ -177,23 +184,21 @@ class Model:
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return self.base + sum((_leaf(t, x) for t in self.trees), np.zeros(len(x)))
 
-    def score(self, x: Column) -> Column:
-        """The probability as an expression over the array of features."""
-
-        def walk(node: Node) -> Column:
-            if node.feature < 0:
-                return F.lit(node.value)
-            return F.when(F.get(x, F.lit(node.feature)) > F.lit(node.at), walk(node.right)).otherwise(walk(node.left))
-
+    def odds(self, x: Column) -> Column:
+        """The log odds as an expression over the array of features."""
         odds = F.lit(self.base)
         for tree in self.trees:
-            odds = odds + walk(tree)
-        return 1 / (1 + F.exp(-odds))
+            odds = odds + _walk(tree, x)
+        return odds
+
+    def score(self, x: Column) -> Column:
+        """The probability as an expression over the array of features."""
+        return 1 / (1 + F.exp(-self.odds(x)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = 12, depth: int = 3, rate: float = 0.4,
         precision: float = 0.95, least: int = 5) -> Model:
-    """Logistic gradient boosting on the rows outside ``fold``; the threshold is set on the rows inside.
+    """Logistic gradient boosting on the rows outside ``fold``; the threshold is set on the rows inside.  The plain form of :func:`fit_counted`.
 
     It is the smallest score from which on at least ``precision`` of the fold's
     rows, and at least ``least`` of them, are positive; 2 if there is none.
@@ -219,26 +224,120 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = 12, depth:
     return Model(base, tuple(trees), threshold)
 
 
-def learn(found: DataFrame, rows: int = 4000, seed: int = 3) -> dict[str, Model]:
-    """A model per generator, from at most ``rows`` candidates of each, those with the smallest hash of the document and place."""
+def examples(found: DataFrame, seed: int = 3) -> DataFrame:
+    """``kind, x, y, held, n``: all candidates of the own generators, equal ones of one half counted."""
     each = found.select("doc_id", F.explode("candidates").alias("c")).where(F.col("c.kind").isin(*LOOSE))
-    many = {r["kind"]: r["n"] for r in each.groupBy(F.col("c.kind").alias("kind")).agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(seed), "doc_id", F.col("c.start"), F.col("c.found"))
+    return each.select(
+        F.col("c.kind").alias("kind"), features(F.col("c")).alias("x"), F.coalesce(weak_label(F.col("c")), F.lit(False)).cast("double").alias("y"),
+        (order % 2 == 0).alias("held")).groupBy("kind", "x", "y", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_kind(of: dict[str, Column], other: Column) -> Column:
+    for kind, value in of.items():
+        other = F.when(F.col("kind") == kind, value).otherwise(other)
+    return other
+
+
+def _best_cuts(own: DataFrame, least: float) -> list:
+    """Sums and the best cut of each open node: a row per kind and node, whatever the number of examples.
+
+    ``own(kind, node, x, slope, weight)``.  Slopes and weights are added up per
+    value of each feature, then along the values.
+    """
+    values = own.select("kind", "node", "slope", "weight", F.posexplode("x").alias("feature", "value")).groupBy(
+        "kind", "node", "feature", "value").agg(F.sum("slope").alias("slope"), F.sum("weight").alias("weight"))
+    whole = Window.partitionBy("kind", "node", "feature")
+    along = whole.orderBy("value")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = values.select(
+        "kind", "node", "feature", ((F.col("value") + F.lead("value").over(along)) / 2).alias("at"), F.sum("slope").over(upto).alias("g"),
+        F.sum("weight").over(upto).alias("h"), F.sum("slope").over(whole).alias("slope"), F.sum("weight").over(whole).alias("weight"))
+    g, h, rest_g, rest_h = F.col("g"), F.col("h"), F.col("slope") - F.col("g"), F.col("weight") - F.col("h")
+    gain = g * g / (h + 1) + rest_g * rest_g / (rest_h + 1) - F.col("slope") * F.col("slope") / (F.col("weight") + 1)
+    allowed = F.col("at").isNotNull() & (h * 4 > least) & (rest_h * 4 > least) & (gain > 1e-6)
+    # rounded, so that the order of summation doesn't choose among equal gains
+    rank = F.when(allowed, F.struct(F.round(gain, 6), -F.col("feature"), -F.col("at")))
+    return cuts.groupBy("kind", "node").agg(
+        F.max("slope").alias("slope"), F.max("weight").alias("weight"), F.max_by(F.struct("feature", "at", "g", "h"), rank).alias("cut")).collect()
+
+
+def _grow_trees(own: DataFrame, kinds: Sequence[str], depth: int, rate: float, least: float) -> dict[str, Node]:
+    """The next tree of each kind, all kinds level by level in one job each; ``own(kind, x, y, n, odds)``."""
+    sloped = own.withColumn("p", 1 / (1 + F.exp(-F.col("odds")))).select(
+        "kind", "x", (F.col("n") * (F.col("y") - F.col("p"))).alias("slope"), (F.col("n") * F.col("p") * (1 - F.col("p"))).alias("weight"))
+    # places of nodes: the root is 1, below k lie 2k and 2k + 1
+    cut: dict[str, dict[int, tuple[int, float]]] = {k: {} for k in kinds}
+    leaf: dict[str, dict[int, float]] = {k: {1: 0.0} for k in kinds}
+    opened = {k: {1} for k in kinds}
+
+    def tree(kind: str, value: Callable[[int], float], place: int = 1) -> Node:
+        if place not in cut[kind]:
+            return Node(value(place))
+        feature, at = cut[kind][place]
+        return Node(0.0, feature, at, tree(kind, value, 2 * place), tree(kind, value, 2 * place + 1))
+
+    for _ in range(depth):
+        at = {k: _walk(tree(k, float), F.col("x")).cast("int") for k in kinds if opened[k]}
+        if not at:
+            break
+        wanted = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("node")) for k in at for i in sorted(opened[k])])
+        level = sloped.withColumn("node", _by_kind(at, F.lit(0))).where(F.array_contains(wanted, F.struct("kind", "node")))
+        opened = {k: set() for k in kinds}
+        for r in _best_cuts(level, least):
+            kind, node = r["kind"], r["node"]
+            leaf[kind][node] = rate * r["slope"] / (r["weight"] + 1)
+            if r["cut"] is not None:
+                feature, middle, g, h = r["cut"]
+                cut[kind][node] = (feature, middle)
+                for place, slope, weight in ((2 * node, g, h), (2 * node + 1, r["slope"] - g, r["weight"] - h)):
+                    leaf[kind][place] = rate * slope / (weight + 1)
+                    opened[kind].add(place)
+    return {k: tree(k, lambda place, k=k: float(leaf[k][place])) for k in kinds}
+
+
+#: Scores are told apart by this part when the threshold is sought, so its search orders no more rows than that.
+SCORE_STEPS = 1_000_000
+
+
+def fit_counted(rows: DataFrame, rounds: int = 12, depth: int = 3, rate: float = 0.4, precision: float = 0.95, least: int = 5) -> dict[str, Model]:
+    """What :func:`fit` does, for each kind, on counted examples ``kind, x, y, held, n`` of any number; Spark forms all sums.
+
+    Only sums and cuts of tree nodes reach the driver, at most 2^depth a kind.
+    """
+    x, n = F.col("x"), F.col("n")
+    half = {r["kind"]: (r["n"], r["y"]) for r in rows.where(~F.col("held")).groupBy("kind").agg(
+        F.sum("n").alias("n"), F.sum(n * F.col("y")).alias("y")).collect()}
     models = {}
     for kind in LOOSE:
-        # about twice the wanted rows lie below this hash, so tasks send few rows in all
-        below = int(min(1.0, 2 * rows / max(1, many.get(kind, 0))) * 2**64) - 2**63 - 1
-        some = (
-            each.where(F.col("c.kind") == kind).withColumn("order", order).where(F.col("order") <= F.lit(below))
-            .orderBy("order", "c.start").limit(rows)
-            .select("order", features(F.col("c")).alias("x"), F.coalesce(weak_label(F.col("c")), F.lit(False)).alias("y")).collect()
-        )
-        x = np.array([r["x"] for r in some], float).reshape(-1, len(FEATURES))
-        y = np.array([r["y"] for r in some], float)
-        models[kind] = fit(x, y, np.array([r["order"] % 2 == 0 for r in some], bool))
+        many, positive = half.get(kind, (0, 0.0))
+        share = (positive + 0.5) / (many + 1)
+        models[kind] = Model(log(share / (1 - share)), (), 2.0)
+    mixed = [k for k, (many, positive) in half.items() if 0 < positive < many]
+    # the odds so far stand in the rows, so the plan of a level holds one tree only
+    own = rows.where(~F.col("held") & F.col("kind").isin(mixed)).select(
+        "kind", "x", "y", "n", _by_kind({k: F.lit(models[k].base) for k in mixed}, F.lit(0.0)).alias("odds"))
+    for i in range(rounds if mixed else 0):
+        trees = _grow_trees(own, mixed, depth, rate, 4.0)
+        for kind, tree in trees.items():
+            models[kind] = Model(models[kind].base, (*models[kind].trees, tree), 2.0)
+        if i + 1 < rounds:
+            own = staged(own.withColumn("odds", F.col("odds") + _by_kind({k: _walk(t, x) for k, t in trees.items()}, F.lit(0.0))), "odds")
+    step = F.floor(_by_kind({k: m.score(x) for k, m in models.items()}, F.lit(0.0)) * SCORE_STEPS)
+    scores = rows.where("held").groupBy("kind", step.alias("step")).agg(F.sum("n").alias("n"), F.sum(n * F.col("y")).alias("y"))
+    down = Window.partitionBy("kind").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = scores.select("kind", "step", F.sum("n").over(down).alias("n"), F.sum("y").over(down).alias("y"))
+    held = taken.withColumn("low", F.max((F.col("y") / F.col("n") < precision).cast("int")).over(down)).where((F.col("low") == 0) & (F.col("y") >= least))
+    for r in held.groupBy("kind").agg(F.min("step").alias("step")).collect():
+        models[r["kind"]] = Model(models[r["kind"]].base, models[r["kind"]].trees, r["step"] / SCORE_STEPS - 1e-9)
     return models
 
 
+def learn(found: DataFrame, seed: int = 3) -> dict[str, Model]:
+    """A model per generator, from all of its candidates; a hash of the document and place deals them to the two halves."""
+    return fit_counted(staged(examples(found, seed), "examples"))
+
+
 def _free(spans: Column) -> Column:
     """Spans (start, rank, end, kind, base, score) in order without those of the method that overlap a base span."""
     last = _let(running(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.greatest),
@@ -250,7 +349,7 @@ def _free(spans: Column) -> Column:
     return _let(last, lambda before: _let(following, lambda after: clear(before, after)))
 
 
-def find_personal_data(docs: DataFrame, keep: Sequence[str] = (), rows: int = 4000, seed: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, keep: Sequence[str] = (), seed: int = 3) -> DataFrame:
     """Spans of personal data in whole texts: ``doc_id, <keep>, spans``, a row per document.
 
     ``spans`` is an array of (start, rank, end, kind, base, score) by start,
@@ -259,16 +358,16 @@ def find_personal_data(docs: DataFrame, keep: Sequence[str] = (), rows: int = 40
     at or above their calibrated threshold and that no base span overlaps.
     Places are code points, ends exclusive.
 
-    Trees learn from weak labels of at most ``rows`` candidates a generator; one
-    half of them sets the thresholds.  All texts are searched, and candidates
-    stay in their document's row, so nothing is shuffled.  Null and empty texts
+    Trees learn from weak labels of all candidates of a generator; one half of
+    them sets the thresholds.  All texts are searched, and candidates stay in
+    their document's row; only counts of equal feature rows are shuffled.  Null and empty texts
     have no span.  Rows keep their doc_id, null or repeated.  An empty table
     gives no row.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in keep if c != "doc_id"],
                                candidates(text).alias("candidates")), "candidates")
-    models = learn(found, rows, seed)
+    models = learn(found, seed)
 
     def judged(c: Column) -> Column:
         by_kind = F.lit(0.0)

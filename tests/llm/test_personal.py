@@ -80,6 +80,24 @@ def test_learned_spans(spark):
     assert P.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_models_are_fitted_on_all_candidates(spark):
+    draw = random.Random(4)
+    rows = []
+    for i in range(5000):
+        lead = draw.choice(["token: ", "secret=", "see ", "", "file ", "key: "])
+        rows.append((i, lead + "".join(draw.choices("0123456789abcdefXYZ_-", k=draw.randint(18, 45)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = docs.select("doc_id", P.candidates(F.col("text")).alias("candidates")).cache()
+    got = P.learn(found)["secret"]
+    each = found.select("doc_id", F.explode("candidates").alias("c")).where("c.kind = 'secret'").select(
+        P.features(F.col("c")).alias("x"), F.coalesce(P.weak_label(F.col("c")), F.lit(False)).alias("y"),
+        (F.xxhash64(F.lit(3), "doc_id", "c.start", "c.found") % 2 == 0).alias("held")).collect()
+    x, y, held = (np.array([r[k] for r in each], float) for k in ("x", "y", "held"))
+    want = P.fit(x, y, held > 0)
+    assert len(each) > 4000 and got.base == pytest.approx(want.base) and len(got.trees) == len(want.trees)
+    assert np.allclose(got.log_odds(x), want.log_odds(x)) and got.threshold == pytest.approx(want.threshold, abs=2e-6)
+
+
 def test_trees_as_expressions(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(0, 9, (800, len(P.FEATURES))).astype(float)
