@@ -161,3 +161,15 @@ def test_stream_finds_what_others_stored(spark, work):
 
 def stream_source(spark, path):
     return spark.read.schema(EVENT_SCHEMA).json(path)
+
+
+def test_stream_input_is_written_by_every_task(spark, monkeypatch):
+    from pathlib import Path
+
+    from catalog import events as CE
+
+    rows = spark.range(400).selectExpr("id as event_id", "'ping' as event_type", "cast(null as string) as signature", "cast(id as string) as body").repartition(4)
+    monkeypatch.setattr(CE, "events", lambda spark, folder: rows)
+    seen, read = [], CE.E.stream_events
+    monkeypatch.setattr(CE.E, "stream_events", lambda spark, path, **more: seen.append(len([*Path(path.removeprefix("file:")).glob("*.json")])) or read(spark, path, **more))
+    assert sorted(r["event_id"] for r in CE.stream_events(spark, "").collect()) == list(range(400)) and seen == [4]
