@@ -137,3 +137,14 @@ def test_a_hot_bucket_is_many_blocks(spark):
     table = spark.createDataFrame(rows, SCHEMA)
     got = lsh.ann_join(table, table, 2, tables=2, hashes=1, width=50.0, exclude_self=True, block_rows=16)
     assert found(got) == brute(rows, 2, exclude_self=True)
+
+
+def test_many_queries_against_an_empty_table(spark):
+    """More queries than fit one block, but nothing stored yet, as in the first batch of a stream."""
+    kind = "repo_name string, issue_number long, title string, embedding array<float>"
+    queries = spark.createDataFrame([("r", n, "t", [1.0, float(n)]) for n in range(9)], kind)
+    empty = spark.createDataFrame([], kind)
+    assert N.knn_topk(queries, empty, 1, exclude_self=True, block_rows=2).count() == 0
+    assert N.probe_join(queries, empty, 1, n_clusters=2, n_probe=1, block_rows=2).count() == 0
+    verdicts = N.duplicate_decision(queries, empty, block_rows=2).collect()
+    assert len(verdicts) == 9 and not any(v.is_duplicate for v in verdicts)
