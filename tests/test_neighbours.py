@@ -148,3 +148,23 @@ def test_many_queries_against_an_empty_table(spark):
     assert N.probe_join(queries, empty, 1, n_clusters=2, n_probe=1, block_rows=2).count() == 0
     verdicts = N.duplicate_decision(queries, empty, block_rows=2).collect()
     assert len(verdicts) == 9 and not any(v.is_duplicate for v in verdicts)
+
+
+def test_blocks_travel_in_bundles(spark, monkeypatch):
+    """Vectors without clusters: each is sent to every bundle of its repository at most, however small the blocks are."""
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 5 else "b", i, "t", [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    sent, run = [], N._multiply_bundles
+
+    def counted(visits, *rest):
+        sent.append(visits.count())
+        return run(visits, *rest)
+
+    monkeypatch.setattr(N, "_multiply_bundles", counted)
+    for limits in ({}, {"BUNDLE_ROWS": 60, "SPREAD": 2, "TILE": 500}):
+        for name, value in limits.items():
+            monkeypatch.setattr(N, name, value)
+        assert found(N.knn_topk(table, table, 4, exclude_self=True, n_clusters=4, block_rows=5)) == brute(rows, 4, exclude_self=True)
+    # bundles of 30 and 60 rows, whose number rounds up for each of four clusters: not the 48 blocks of five rows
+    assert sent[1] <= 240 * (4 + 4) + 60 * (2 + 4) < sum(n * n / 5 for n in (240, 60)) / 4
