@@ -96,6 +96,16 @@ def test_texts_and_counts(table):
     assert counts == {g: (sum(r[0] == g for r in issues()), sum(k[0] == g for k in found)) for g in ("hot", "b", "c", "d")}
 
 
+def test_counts_cover_all_pairs(table, monkeypatch):
+    from catalog import pairs as Q
+
+    monkeypatch.setattr(Q, "view", lambda spark, folder, name: table.unionByName(table.limit(40)))
+    counted = {r["repo_name"]: r for r in Q.counts(table.sparkSession, "").collect()}
+    numbers = {g: {r[1] for r in issues() if r[0] == g} for g in ("hot", "b", "c", "d")}
+    assert {g: counted[g]["pairs"] for g in numbers} == {g: len(n) * (len(n) - 1) // 2 for g, n in numbers.items()}
+    assert counted[None]["pairs"] == counted[None]["alike"] == 0 and 0 < counted["hot"]["alike"] < counted["hot"]["pairs"]
+
+
 def test_no_python_and_no_unfiltered_pairs(table):
     plan = P.similar_pairs(table, with_text=False)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
